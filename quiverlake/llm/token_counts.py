@@ -28,8 +28,9 @@ from ._common import arrow_schema, text_of
 TABLE_SIZE = 1 << 16  # runs in the broadcast table
 REPORTED = 4096  # runs that a partition reports
 LONGEST = 64  # characters of a run that is kept anywhere
-CACHED = 400_000  # runs in a worker's cache
-FOLD = 1_000_000  # runs counted at once in a worker
+CACHED = 200_000  # runs in a worker's cache
+FOLD = 200_000  # runs counted at once in a worker
+AT_ONCE = 1 << 19  # characters of text taken apart at once
 
 #: A space between two other white-space characters may stand inside one pre-token.
 _inner = re.compile(r"\s \s")
@@ -39,6 +40,20 @@ def splits_at_spaces(text: str, special: tuple[str, ...]) -> bool:
     return not _inner.search(text) and not any(s in text for s in special)
 
 
+def _parts(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of about AT_ONCE characters; a longer text is a list of its own."""
+    part: list[str] = []
+    size = 0
+    for x in texts:
+        part.append(x.as_py())
+        size += len(part[-1])
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def frequent_runs(docs: DataFrame, text_col: str, table_size: int = TABLE_SIZE) -> list[str]:
     """The most frequent runs of all texts; first runs of texts, which have no space before them, don't count."""
     schema = "run string, n long"
@@ -47,9 +62,10 @@ def frequent_runs(docs: DataFrame, text_col: str, table_size: int = TABLE_SIZE)
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(text.split(" ")[1:])
-                if len(counts) > FOLD:  # keep memory bounded; only rare runs lose counts
+            for part in _parts(b.column(0)):
+                for text in part:
+                    counts.update(text.split(" ")[1:])
+                if len(counts) > FOLD:  # keeps memory bounded; only rare runs lose counts
                     counts = Counter(dict(counts.most_common(FOLD // 4)))
         rows = [(k, n) for k, n in counts.most_common(REPORTED) if n > 1 and len(k) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(wanted)], schema=wanted)
@@ -120,7 +136,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, special: tup
         held = RunLengths(tokenizer, known.value, special)
         for b in batches:
             n_bytes = pc.cast(pc.binary_length(b.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(wanted[0].type), n_bytes, pa.array(held.count(b.column(1).to_pylist()), pa.int64())], schema=wanted)
+            sizes = [n for part in _parts(b.column(1)) for n in held.count(part)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(wanted[0].type), n_bytes, pa.array(sizes, pa.int64())], schema=wanted)
 
     counted = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
