@@ -34,7 +34,7 @@ from .quality import examples
 MAX_EXAMPLES = 20_000
 VOCABULARY = 4096  # terms at most
 LEAST_TOXIC = 3  # toxic examples that hold a term, at least
-LEAST_SHARE = 0.01  # of the toxic examples that hold a term, at least
+LEAST_SHARE = 0.015  # of the toxic examples that hold a term, at least
 LEAST_RATIO = 15.0  # log-likelihood ratio of a term, at least
 NEIGHBOURS = 16
 BLOCK = 64
