@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_schema, cut, text_of
@@ -23,9 +23,9 @@ from ._common import arrow_schema, cut, text_of
 COUNTERS = 1024
 
 
-def misra_gries(keys: Iterator[bytes], counters: int) -> dict[bytes, int]:
+def misra_gries(keys: Iterator, counters: int) -> dict:
     """Keys that may occur in more than len / (counters + 1) places, with lower bounds of their counts."""
-    held: dict[bytes, int] = {}
+    held: dict = {}
     for k in keys:
         if k in held:
             held[k] += 1
@@ -42,7 +42,7 @@ def frequent(keyed: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     A key above that share is above it in some partition's rows too, so its summary there keeps it; merged
     lower bounds order the candidates.
     """
-    schema = f"{key} binary, bound long"
+    schema = f"{key} {keyed.schema[key].dataType.simpleString()}, bound long"
     wanted = arrow_schema(schema)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,19 +78,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies: of equal texts the row with the largest id stays, with all its columns.
 
-    Rows repeated with the same id and text leave one row. Only ids of dropped rows meet the documents, by a
-    join on the id.
+    Rows repeated with the same id and text leave one row. One shuffle of the documents, by a hash of id and
+    text, which no group of copies makes uneven.
     """
-    decided = groups(docs, id_col, text_col)
-    twice = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    dropped = decided.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(text_of(text_col), 256))
-    alone = marked.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = twice.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_again"))
-    same = (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_sha") == F.col("_again"))
-    once = alone.join(again, same, "left_anti")
-    rest = alone.join(again, same, "left_semi").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(rest).select(*docs.columns)
+
+    def key(doc_id: Column, sha: Column) -> Column:
+        return F.sha2(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), sha), 256)
+
+    kept = groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_kept"))
+    marked = docs.withColumn("_kept", key(F.col(id_col), F.sha2(text_of(text_col), 256)))
+    return marked.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
 
 
 SQL = """

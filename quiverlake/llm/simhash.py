@@ -146,3 +146,14 @@ def groups(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id", t
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = cut(rooted.join(lowest, "root").select("fp", "component_id"), "by_fingerprint")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: the one with the smallest id, with all its columns.
+
+    Rows that share the id of a document that stays, stay; so do rows with a null id.
+    """
+    found = groups(docs, words_in_shingle, id_col, text_col)
+    staying = found.where("doc_id = component_id").select("doc_id")
+    going = cut(found.where("doc_id <> component_id").select("doc_id").join(staying, "doc_id", "left_anti").distinct(), "going")
+    return docs.join(going.withColumnRenamed("doc_id", "_going"), F.col(id_col) == F.col("_going"), "left_anti")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,10 +215,14 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
     return voter
 
 
+def _model(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int], max_examples: int, k: int, id_col: str, text_col: str) -> Broadcast:
+    taught = examples(docs, labels, label, out, max_examples, id_col).select(F.col(id_col).cast("long").alias("id"), "_label", text_of(text_col).alias("text"))
+    return docs.sparkSession.sparkContext.broadcast(fit(taught, k))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tuple[int, int] = (3, 1), threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence [(doc_id, cosine, label)], nearest first."""
-    taught = examples(docs, labels, label, out, max_examples, id_col).select(F.col(id_col).cast("long").alias("id"), "_label", text_of(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(taught, k))
+    model = _model(docs, labels, label, out, max_examples, k, id_col, text_col)
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, evidence array<struct<doc_id: bigint, cosine: double, label: int>>"
     wanted = arrow_schema(schema)
 
@@ -230,3 +235,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tupl
 
     scored = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id"), *out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tuple[int, int] = (3, 1), threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all their columns, that score below the threshold; one pass, nothing is shuffled."""
+    model = _model(docs, labels, label, out, max_examples, k, id_col, text_col)
+    wanted, place = arrow_schema(docs.schema), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voter = model.value
+        for b in batches:
+            keep = [voter.score(t or "")[0] < threshold for t in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, wanted, strict=True)], schema=wanted).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
