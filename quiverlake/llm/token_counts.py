@@ -105,7 +105,7 @@ class RunLengths(dict):
                 first, *runs = text.split(" ")
                 cut.append((i, runs))
                 heads.append(first)
-                missing.update(set(runs).difference(self))
+                missing.update(r for r in runs if r not in self)
             else:
                 plain.append(i)
         new = list(missing)
