@@ -26,7 +26,7 @@ _pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 _plain = re.compile("[!-~¿-įĲ-ž]*")
 
 
-def _byte_of() -> dict[str, int]:
+def unit_bytes() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
@@ -47,7 +47,7 @@ class WordIds(dict):
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        byte_of, end = _byte_of(), "</w>"
+        byte_of, end = unit_bytes(), "</w>"
         ranks = {bytes(byte_of[c] for c in k.removesuffix(end)) + END * k.endswith(end): i for k, i in vocabulary.items()}
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
