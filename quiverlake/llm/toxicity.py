@@ -52,16 +52,37 @@ def _stated(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
+class TermNumbers(dict):
+    """The vocabulary numbers of a space-separated part's terms, mostly none."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+        self.heads = {t[:4] for t in number}  # a word that starts like no term has none
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        if len(self) > CACHED:
+            self.clear()
+        self[part] = got = tuple(self.number[t] for w in _word.findall(part) if w[:4] in self.heads for t in terms_of(w) if t in self.number)
+        return got
+
+
 def term_counts(examples_: DataFrame, only: set[str] | None, schema: str = "term string, n long") -> DataFrame:
     """Number of texts that hold each term."""
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter = Counter()
+        names = sorted(only or ())
+        parts = TermNumbers({t: i for i, t in enumerate(names)})
         for b in batches:
             for text in b.column(0).to_pylist():
-                held = {t for w in set(_stated(text)) for t in terms_of(w)}
-                counts.update(held if only is None else held & only)
+                if only is None:
+                    counts.update({t for w in set(_stated(text)) for t in terms_of(w)})
+                else:
+                    counts.update({t for got in map(parts.__getitem__, set(text.lower().split())) for t in got})
+        if only is not None:
+            counts = Counter({names[i]: n for i, n in counts.items()})
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), wanted[0].type), pa.array(counts.values(), wanted[1].type)], schema=wanted)
 
     return examples_.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n"))
@@ -82,23 +103,19 @@ class Vectors:
     """Texts as unit TF-IDF vectors over the vocabulary: (term numbers ascending, weights)."""
 
     def __init__(self, idf: dict[str, float]):
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts = TermNumbers({t: i for i, t in enumerate(sorted(idf))})
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        known, counts = self.words, Counter()
-        for w in _stated(text):
-            got = known.get(w)
-            if got is None:
-                known[w] = got = tuple(self.number[t] for t in terms_of(w) if t in self.number)
-            if got:
-                counts.update(got)
+        counts = Counter(t for got in map(self.parts.__getitem__, text.lower().split()) if got for t in got)
+        if not counts:
+            return _NONE
         terms = np.array(sorted(counts), np.int64)
-        weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if terms.size else np.empty(0)
-        return terms, weights / (np.linalg.norm(weights) or 1)
+        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
+        return terms, weights / np.linalg.norm(weights)
+
+
+_NONE = np.empty(0, np.int64), np.empty(0)
 
 
 class BlockMaxIndex:
@@ -119,30 +136,44 @@ class BlockMaxIndex:
         np.maximum.at(most, cell, self.weight)
         self.most = most.reshape(n_terms, self.blocks)
 
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the blocks with a positive cosine, and the cosines, from the postings of these terms."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        start = self.start[cells]
+        n = self.start[cells + 1] - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        within = np.repeat(np.tile(np.arange(blocks.size), terms.size), n) * BLOCK + self.place[at] % BLOCK
+        sums = np.bincount(within, np.repeat(np.repeat(weights, blocks.size), n) * self.weight[at], blocks.size * BLOCK)
+        own = np.flatnonzero(sums)
+        return blocks[own // BLOCK] * BLOCK + own % BLOCK, sums[own]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a positive cosine, nearest first, ties to the smaller id."""
+        """Places and cosines of the k nearest with a positive cosine, nearest first, ties to the smaller id.
+
+        Blocks are taken by their bound, twice as many each time, until no bound reaches the k-th cosine.
+        """
         if not terms.size or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
+            return _NONE
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in order.tolist():
-            if bound[block] <= 0 or places.size >= k and bound[block] < least - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip((terms * self.blocks + block).tolist(), weights.tolist(), strict=True):
-                s, e = self.start[t], self.start[t + 1]
-                sums[self.place[s:e] - block * BLOCK] += w * self.weight[s:e]
-            own = np.flatnonzero(sums)
-            found = own + block * BLOCK
-            keep = self.ids[found] != but if but is not None else slice(None)
-            places, cosines = np.concatenate([places, found[keep]]), np.concatenate([cosines, sums[own][keep]])
-            if places.size > k:
-                top = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-                places, cosines = places[top], cosines[top]
-                least = cosines[-1]
-        top = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-        return places[top], cosines[top]
+        order = order[: np.count_nonzero(bound > 0)]
+        places, cosines, least, done, step = *_NONE, 0.0, 0, 4
+        while done < order.size:
+            own = order[done : done + step]
+            if places.size >= k:
+                own = own[bound[own] >= least - 1e-12]
+                if not own.size:
+                    break
+            done, step = done + step, 2 * step
+            found, values = self._cosines(terms, weights, own)
+            if but is not None:
+                other = self.ids[found] != but
+                found, values = found[other], values[other]
+            places, cosines = np.concatenate([places, found]), np.concatenate([cosines, values])
+            top = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
+            places, cosines = places[top], cosines[top]
+            least = cosines[-1] if cosines.size else 0.0
+        return places, cosines
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +242,7 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
     own = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
     voter = Voter(vectors, BlockMaxIndex(ids, labels, own, len(idf)), k)
     voter.calibrate(ids, labels, own)
-    vectors.words.clear()
+    vectors.parts.clear()
     return voter
 
 
