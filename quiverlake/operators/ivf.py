@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import codec
 from ..functions.codec import IndexSpec
 from .encode import code_matrix, matrix, with_fields
-from .search import check_k, search, top_rows
+from .search import DIGITS, check_k, search, top_rows
 from .training import check_probes, default_probes, probe
 
 
@@ -56,7 +56,7 @@ def _cell_scores(codes: DataFrame, asked: DataFrame, spec: IndexSpec, k: int, me
                 q = np.array([a["vector"] for a in asks])
                 framed, bias = codec.query_frame(q, spec)
                 keys = codec.rank_key(metric, codec.value(metric, c[own] @ framed.T - bias, scale[own, None], norm[own, None], np.sqrt((q**2).sum(1))))
-                m = min(k, len(own))
+                keys, m = np.round(keys, DIGITS), min(k, len(own))
                 row, query = np.nonzero(keys >= np.partition(keys, len(own) - m, axis=0)[len(own) - m])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[row])).cast(wanted[0].type), pa.array([asks[i]["qid"] for i in query], wanted[1].type), pa.array(keys[row, query])], schema=wanted)
 

@@ -31,6 +31,7 @@ from .encode import code_matrix, with_fields
 
 BLOCK = 4096  # queries that are broadcast at once
 CHUNK = 1 << 22  # scores that a task holds at once
+DIGITS = 12  # of a rank key: a matrix product's last bits depend on the batch, and ties must not
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ def _scan(codes: DataFrame, spec: IndexSpec, q: Queries, k: int, metric: str, id
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 keys = scored(code_matrix(b.column("codes"), spec), *(b.column(x).to_numpy().astype(np.float64) for x in ("scale", "norm")))
-                keys[np.isnan(keys)] = -np.inf
+                keys = np.round(np.where(np.isnan(keys), -np.inf, keys), DIGITS)
                 m = min(k, len(keys))
                 # All rows at or above the m-th key, so ties are settled by id below.
                 least = np.partition(keys, len(keys) - m, axis=0)[len(keys) - m]
@@ -176,7 +177,7 @@ def rescore(pool: DataFrame, queries: DataFrame, spec: IndexSpec, k: int, metric
             framed, bias = codec.query_frame(q, spec)
             s = (levels[code_matrix(b.column("codes"), spec)] * framed).sum(1) - bias
             values = codec.value(metric, s, b.column("scale").to_numpy().astype(np.float64), b.column("norm").to_numpy().astype(np.float64), np.sqrt((q**2).sum(1)))
-            yield pa.RecordBatch.from_arrays([b.column("qid").cast(wanted[0].type), b.column(id_col).cast(wanted[1].type), pa.array(codec.rank_key(metric, values))], schema=wanted)
+            yield pa.RecordBatch.from_arrays([b.column("qid").cast(wanted[0].type), b.column(id_col).cast(wanted[1].type), pa.array(np.round(codec.rank_key(metric, values), DIGITS))], schema=wanted)
 
     top = top_rows(pairs.mapInArrow(run, schema), k, F.col("key"), id_col)
     return top.select("qid", "rank", id_col, (-F.col("key") if metric == "euclidean" else F.col("key")).cast("float").alias("score"))
@@ -206,6 +207,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
                         keys /= np.sqrt((v**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))
                     elif metric == "euclidean":
                         keys = 2 * keys - (v**2).sum(1)[:, None] - (x**2).sum(1)
+                    keys = np.round(keys, DIGITS)
                     m = min(k, len(keys))
                     row, query = np.nonzero(keys >= np.partition(keys, len(keys) - m, axis=0)[len(keys) - m])
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)).cast(wanted[0].type), pa.array([ids[i] for i in query], wanted[1].type), pa.array(keys[row, query])], schema=wanted)
