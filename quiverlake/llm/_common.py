@@ -41,6 +41,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_of(c: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))

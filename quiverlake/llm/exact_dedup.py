@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, cut, text_of
+from ._common import arrow_schema, cut, text_of, unused
 
 COUNTERS = 1024
 
@@ -85,9 +85,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def key(doc_id: Column, sha: Column) -> Column:
         return F.sha2(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("null")), sha), 256)
 
-    kept = groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_kept"))
-    marked = docs.withColumn("_kept", key(F.col(id_col), F.sha2(text_of(text_col), 256)))
-    return marked.join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    mark = unused(docs, "_kept")
+    kept = groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(mark))
+    marked = docs.withColumn(mark, key(F.col(id_col), F.sha2(text_of(text_col), 256)))
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
 
 
 SQL = """

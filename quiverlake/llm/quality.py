@@ -143,7 +143,10 @@ def _vectors(docs: DataFrame, label: str) -> DataFrame:
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int], most: int, id_col: str = "doc_id") -> DataFrame:
-    """Labelled documents to learn from, at most ``most``: with _label, 0 or 1. out: modulus and held-out remainder."""
+    """Labelled rows of docs to learn from, at most ``most``: with _label, 0 or 1. out: modulus and held-out remainder.
+
+    docs: the id, and columns other than _id and _label.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), *out))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)  # at most ``most`` pairs of numbers
     return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
@@ -152,7 +155,8 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", out: tuple[int, int] = (4, 2), threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    taught = examples(docs, labels, label, out, max_examples, id_col).select("_label", text_of(text_col).alias("text"), length.alias("n"))
+    mine = docs.select(F.col(id_col), text_of(text_col).alias("_text"), length.alias("_n"))
+    taught = examples(mine, labels, label, out, max_examples, id_col).select("_label", "_text", "_n")
     rows = _vectors(taught, "_label").limit(max_examples).toPandas()  # bounded: max_examples sparse vectors
     machine = fit([(np.asarray(c, np.int64), np.asarray(v, np.float64)) for c, v in zip(rows["cells"], rows["vals"], strict=True)], rows["_label"].to_numpy(np.float64))
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))

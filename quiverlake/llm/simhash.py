@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, cut, text_of
+from ._common import arrow_schema, cut, text_of, unused
 from .components import components
 
 BITS = 64
@@ -156,4 +156,5 @@ def drop_near_duplicates(docs: DataFrame, words_in_shingle: int = 3, id_col: str
     found = groups(docs, words_in_shingle, id_col, text_col)
     staying = found.where("doc_id = component_id").select("doc_id")
     going = cut(found.where("doc_id <> component_id").select("doc_id").join(staying, "doc_id", "left_anti").distinct(), "going")
-    return docs.join(going.withColumnRenamed("doc_id", "_going"), F.col(id_col) == F.col("_going"), "left_anti")
+    other = unused(docs, "_going")
+    return docs.join(going.withColumnRenamed("doc_id", other), F.col(id_col) == F.col(other), "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, cut, text_of
+from ._common import arrow_schema, cut, text_of, unused
 from .exact_dedup import frequent
 
 K, WINDOW = 5, 16
@@ -324,8 +324,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats taken out of later documents' texts; documents of which nothing is left go."""
-    gone = repeats(docs, min_words, similarity, id_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    other, held = unused(docs, "_id"), unused(docs, "_spans")
+    gone = repeats(docs, min_words, similarity, id_col, text_col).groupBy(F.col("doc_id").alias(other)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(held))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(other), "left").drop(other)
     wanted = arrow_schema(docs.schema)
     place = docs.columns.index(text_col)
 

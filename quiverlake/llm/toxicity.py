@@ -247,7 +247,8 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
 
 
 def _model(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int], max_examples: int, k: int, id_col: str, text_col: str) -> Broadcast:
-    taught = examples(docs, labels, label, out, max_examples, id_col).select(F.col(id_col).cast("long").alias("id"), "_label", text_of(text_col).alias("text"))
+    mine = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
+    taught = examples(mine, labels, label, out, max_examples, id_col).select(F.col(id_col).cast("long").alias("id"), "_label", F.col("_text").alias("text"))
     return docs.sparkSession.sparkContext.broadcast(fit(taught, k))
 
 
