@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are lower-cased words and their first four, five and six letters, so that inflected forms meet. The
-vocabulary holds terms that stand out among the toxic examples (log-likelihood ratio). The labelled
+vocabulary holds terms that stand out among the toxic examples (by log-likelihood ratio, which tells chance
+from cause, and by lift, which leaves out common words that toxic texts merely have a little more of). The labelled
 examples are TF-IDF vectors over it, in an inverted index whose postings lie in blocks of ``BLOCK``
 examples, each with the largest weight per term; a search takes blocks by their upper bound and stops once
 no block can hold a nearer example, so the ``k`` nearest are exact. Neighbours vote with their cosine, and
@@ -37,6 +38,7 @@ VOCABULARY = 4096  # terms at most
 LEAST_TOXIC = 3  # toxic examples that hold a term, at least
 LEAST_SHARE = 0.015  # of the toxic examples that hold a term, at least
 LEAST_RATIO = 15.0  # log-likelihood ratio of a term, at least
+LEAST_LIFT = 5.0  # times that a term is commoner in toxic examples than in others, at least
 NEIGHBOURS = 16
 BLOCK = 64
 CACHED = 400_000
@@ -226,8 +228,9 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
         candidates = term_counts(taught.where("_label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(16 * VOCABULARY)
         toxic = {r.term: r.n for r in candidates.collect()}  # at most 16 * VOCABULARY terms
         clean = {r.term: r.n for r in term_counts(taught.where("_label = 0"), set(toxic)).collect()}
-        found = sorted(((ratio(n, n1, clean.get(t, 0), n0), t) for t, n in toxic.items()), key=lambda x: (-x[0], x[1]))[:VOCABULARY]
-        idf = {t: math.log((n1 + n0 + 1) / (toxic[t] + clean.get(t, 0) + 1)) for g, t in found if g >= LEAST_RATIO}
+        found = sorted(((ratio(n, n1, clean.get(t, 0), n0), t) for t, n in toxic.items()), key=lambda x: (-x[0], x[1]))
+        stands_out = [t for g, t in found if g >= LEAST_RATIO and toxic[t] / n1 >= LEAST_LIFT * clean.get(t, 0) / n0]
+        idf = {t: math.log((n1 + n0 + 1) / (toxic[t] + clean.get(t, 0) + 1)) for t in stands_out[:VOCABULARY]}
     vectors = Vectors(idf)
     schema = "id long, _label int, terms array<int>, weights array<double>"
     wanted = arrow_schema(schema)
