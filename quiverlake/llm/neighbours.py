@@ -33,7 +33,7 @@ from ._common import arrow_schema, count_rows, cut
 
 DEGREE, REVERSE, SENT = 28, 18, 8
 ROUNDS, STILL = 10, 0.02  # a round that changes a smaller part of the lists is the last
-WIDTH, EXPANDED = 160, 40
+WIDTH, EXPANDED = 384, 64
 
 
 def sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
