@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import EncodeError, IdMapError, IndexError_
 from ..functions import codec
 from ..functions.codec import IndexSpec
-from ..sources import qvec, tables
+from ..sources import binary, tables
 from .encode import code_matrix, encode, validate
 from .filters import compile_filter
 from .ivf import search_cells
@@ -111,23 +111,23 @@ class VectorIndex:
 
     # ---- storage
 
-    def _payload(self) -> qvec.Payload:
+    def _payload(self) -> binary.Payload:
         """All rows on the driver, in slot order: the binary form is one file by definition."""
         rows = self.codes.orderBy(SLOT).toArrow() if self.codes is not None else None
         n, spec = (rows.num_rows, self.spec) if rows is not None else (0, self.spec)
         column = lambda c: rows.column(c).combine_chunks() if n else None
         codes = code_matrix(column("codes"), spec) if n else np.zeros((0, spec.dim), np.uint8)
         number = lambda c, kind: column(c).to_numpy() if n else np.zeros(0, kind)
-        out = qvec.Payload(spec, codes, number("scale", "f4"), number("norm", "f4"))
+        out = binary.Payload(spec, codes, number("scale", "f4"), number("norm", "f4"))
         if self.centroids is not None:
             out.centroids, out.cells = self.centroids, number("cell", "u4")
             out.probes = self.probes or default_probes(len(self.centroids))
         return out
 
     def to_bytes(self) -> bytes:
-        return qvec.dumps(self._payload())
+        return binary.dumps(self._payload())
 
-    def _restore(self, p: qvec.Payload, ids: list | None, id_type: str) -> None:
+    def _restore(self, p: binary.Payload, ids: list | None, id_type: str) -> None:
         packed = codec.pack(p.codes, p.spec.bits)
         rows = [
             (i, *((ids[i],) if ids is not None else ()), bytes(packed[i]), float(p.scales[i]), float(p.norms[i]), *((int(p.cells[i]),) if p.centroids is not None else ()))
@@ -193,7 +193,7 @@ class PositionalIndex(VectorIndex):
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, data: bytes) -> PositionalIndex:
-        p = qvec.loads(data)
+        p = binary.loads(data)
         if p.ids is not None:
             raise IndexError_("WRONG_KIND", "this index has ids")
         out = cls(spark, p.spec.dim, p.spec.bits, p.spec.metric, p.spec.seed)
@@ -276,19 +276,19 @@ class IdIndex(VectorIndex):
         """(slot, id)"""
         return (self.codes if self.codes is not None else self.spark.createDataFrame([], self._schema())).select(SLOT, "id").orderBy(SLOT)
 
-    def _payload(self) -> qvec.Payload:
+    def _payload(self) -> binary.Payload:
         out = super()._payload()
-        wrap: Callable = {"number": float, "integer": float, "string": str, "bigint": lambda x: qvec.BigId(int(x))}[self.id_kind]
+        wrap: Callable = {"number": float, "integer": float, "string": str, "bigint": lambda x: binary.BigId(int(x))}[self.id_kind]
         out.ids = [wrap(r.id) for r in self.ids().collect()]
         return out
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, data: bytes) -> IdIndex:
-        p = qvec.loads(data)
+        p = binary.loads(data)
         if p.ids is None:
             raise IdMapError("WRONG_KIND", "this index has no ids")
         first = p.ids[0] if p.ids else 0.0
-        kind = "string" if isinstance(first, str) else "bigint" if isinstance(first, qvec.BigId) else "number"
+        kind = "string" if isinstance(first, str) else "bigint" if isinstance(first, binary.BigId) else "number"
         out = cls(spark, p.spec.dim, p.spec.bits, p.spec.metric, p.spec.seed, kind)
         import decimal
 

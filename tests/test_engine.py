@@ -17,7 +17,7 @@ from quiverlake.operators.indexes import Collection, IdIndex, PositionalIndex, q
 from quiverlake.operators.ivf import search_cells
 from quiverlake.operators.search import exact, recall_at_k, search, two_stage
 from quiverlake.operators.training import assign, kmeans, train_cells
-from quiverlake.sources import qvec
+from quiverlake.sources import binary
 from quiverlake.sources.vectors import anisotropic, mixture, read_vecs
 
 AXES = [[8.0 * (i // 2 == k) for i in range(8)] for k in range(4)]
@@ -290,8 +290,8 @@ def test_calibration_gate_and_store(spark):
 
 def test_binary_tampering():
     spec = IndexSpec(8, 2)
-    good = qvec.dumps(qvec.Payload(spec, np.arange(16, dtype=np.uint8).reshape(2, 8) % 4, np.array([1.5, 1.75]), np.array([3.5, 4.0]), [1.0, "x"]))
-    p = qvec.loads(good)
+    good = binary.dumps(binary.Payload(spec, np.arange(16, dtype=np.uint8).reshape(2, 8) % 4, np.array([1.5, 1.75]), np.array([3.5, 4.0]), [1.0, "x"]))
+    p = binary.loads(good)
     assert p.ids == [1.0, "x"] and p.codes.tolist() == (np.arange(16).reshape(2, 8) % 4).tolist() and p.scales.tolist() == [1.5, 1.75]
 
     def put(at, *values):
@@ -300,13 +300,13 @@ def test_binary_tampering():
     cases = {"TOO_SHORT": good[:10], "BAD_MAGIC": put(0, 0), "BAD_VERSION": put(4, 9), "BAD_KIND": put(5, 7), "BAD_METRIC": put(6, 7), "BAD_BITS": put(7, 5), "BAD_DIM": put(8, 7), "BAD_LENGTH": good + b"x", "BAD_CALIBRATION": put(44, 2), "BAD_IVF": put(45, 2), "BAD_ID": put(46, 9)}
     for code, data in cases.items():
         with pytest.raises(DeserializeError) as e:
-            qvec.loads(data)
+            binary.loads(data)
         assert e.value.code == code
     with pytest.raises(DeserializeError):
-        qvec.loads(put(12, 255, 255, 255, 255))
+        binary.loads(put(12, 255, 255, 255, 255))
     for n in range(len(good)):
         with pytest.raises(DeserializeError):
-            qvec.loads(good[:n])
+            binary.loads(good[:n])
 
 
 # ---- sources, streams
