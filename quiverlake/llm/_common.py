@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,17 +64,5 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow for functions from a dict of columns (Python lists) to a dict of columns."""
-    wanted = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = f(b)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k.type) for x, k in zip(out, wanted, strict=True)], schema=wanted)
-
-    return df.mapInArrow(run, schema)
-
-
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

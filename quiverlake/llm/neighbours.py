@@ -118,7 +118,7 @@ def _reversed(edges: DataFrame, most: int, *carried: str) -> DataFrame:
 def nn_descent(codes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, sent: int = SENT, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
     """(node, nbrs) for (node, code)."""
     n = count_rows(codes)
-    # Random neighbours: the nodes at random places of an order by hash; places come from a range partitioning's offsets.
+    # Random neighbours: nodes are dealt to buckets of about 64 by a hash, and each asks three other random buckets.
     buckets = max(1, n // 64)
     place = codes.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(buckets)).alias("bucket"))
     asked = place.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.pmod(F.xxhash64("node", i + seed), F.lit(buckets)))).alias("bucket"))
