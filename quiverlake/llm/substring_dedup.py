@@ -5,6 +5,8 @@ k-mers are its seeds, so a common run of window + k - 1 words always has a commo
 share a seed meet at the seed's first and last document (by id), not in all pairs: rows of a seed stay
 linear in its occurrences. Seeds with more than about a thousandth of all rows (at most ``COUNTERS`` of
 them, found by Misra-Gries summaries) are matched map-side with their broadcast first and last documents.
+What no repeat explains then meets every earlier document, one for each cluster of stretches that hold the same
+shared seeds at the same distances, so a passage whose first and last holders quote it in part is found too.
 
 The matches of two documents are chained in order: a chain's score is the words of its seeds less a gap
 cost in proportion to the words skipped on either side, and the best predecessor comes from a Fenwick tree
@@ -44,6 +46,8 @@ _word = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 PAIR = "late long, early long, at_late int, at_early int"
+MET = f"seed long, {PAIR}"
+HELD = "seed long, doc long, at int, open int, cluster long"
 CHAIN = "late long, early long, late_from int, late_to int, early_from int, early_to int"
 REPEAT = "doc_id long, start_word int, end_word int, match_id long, match_start int, match_end int, similarity double"
 
@@ -124,18 +128,18 @@ def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """PAIR rows: every occurrence of a seed against the seed's first document, and its last document against it."""
+    """MET rows: every occurrence of a seed against the seed's first document, and its last document against it."""
     hot = F.broadcast(cut(frequent(found, "seed", COUNTERS), "hot"))
     ends = found.join(hot, "seed", "left_semi").groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", (-F.col("at")).alias("at"))).alias("hi"))
     ends = F.broadcast(cut(ends.where("lo.doc < hi.doc").select("seed", "lo", F.struct("hi.doc", (-F.col("hi.at")).alias("at")).alias("hi")), "ends"))
     heavy = found.join(ends, "seed")
-    first = heavy.where("doc > lo.doc").select(F.col("doc").alias("late"), F.col("lo.doc").alias("early"), F.col("at").alias("at_late"), F.col("lo.at").alias("at_early"))
-    last = heavy.where("doc > lo.doc AND doc < hi.doc").select(F.col("hi.doc").alias("late"), F.col("doc").alias("early"), F.col("hi.at").alias("at_late"), F.col("at").alias("at_early"))
-    wanted = arrow_schema(PAIR)
+    first = heavy.where("doc > lo.doc").select("seed", F.col("doc").alias("late"), F.col("lo.doc").alias("early"), F.col("at").alias("at_late"), F.col("lo.at").alias("at_early"))
+    last = heavy.where("doc > lo.doc AND doc < hi.doc").select("seed", F.col("hi.doc").alias("late"), F.col("doc").alias("early"), F.col("hi.at").alias("at_late"), F.col("at").alias("at_early"))
+    wanted = arrow_schema(MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches, 1):
-            _, doc, at = columns
+            seed, doc, at = columns
             start = _starts(columns, 1)
             size = np.diff(np.append(start, doc.size))
             lo = np.repeat(start, size)
@@ -146,12 +150,73 @@ def matches(found: DataFrame) -> DataFrame:
             hi = np.repeat(of_doc[np.searchsorted(of_doc, start + size - 1, "right") - 1], size)
             a = np.flatnonzero(doc > doc[lo])
             b = np.flatnonzero((doc > doc[lo]) & (doc < doc[hi]))
-            out = [np.concatenate(x) for x in ((doc[a], doc[hi[b]]), (doc[lo[a]], doc[b]), (at[a], at[hi[b]]), (at[lo[a]], at[b]))]
+            out = [np.concatenate(x) for x in ((seed[a], seed[b]), (doc[a], doc[hi[b]]), (doc[lo[a]], doc[b]), (at[a], at[hi[b]]), (at[lo[a]], at[b]))]
             if out[0].size:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, wanted, strict=True)], schema=wanted)
 
     cold = found.join(hot, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "doc", "at")
-    return first.unionByName(last).unionByName(cold.mapInArrow(run, PAIR))
+    return first.unionByName(last).unionByName(cold.mapInArrow(run, MET))
+
+
+def _clusters(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFrame:
+    """HELD rows: the shared occurrences, open if a word no repeat explains is within min_words; cluster: what their stretch holds.
+
+    A stretch is a document's occurrences that one repeat could hold. Stretches with the same seeds at the same
+    distances are one cluster. shared: (seed, doc, at); explained: REPEAT rows.
+    """
+    wanted = arrow_schema(HELD)
+    reach = BREAK + K + 2 * WINDOW  # a repeat's matches lie closer, and each run of WINDOW of them has a seed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, held, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                flat = held.values
+                at, seed = flat.field("at").to_numpy(), flat.field("seed").to_numpy()
+                covered = np.zeros(int(at[-1]) + 1, bool)
+                for s in spans or ():
+                    covered[s["start_word"] : max(0, s["end_word"] - K + 1)] = True
+                bare = at[~covered[at]]
+                after = np.searchsorted(bare, at)
+                edge = np.concatenate([[-(1 << 30)], bare, [1 << 30]])
+                is_open = np.minimum(edge[after + 1] - at, at - edge[after]) <= min_words
+                start = np.concatenate([[0], np.flatnonzero(np.diff(at) > reach) + 1, [at.size]])
+                cluster = np.empty(at.size, np.int64)
+                for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+                    cluster[s:e] = np.array([xxhash.xxh64_intdigest(seed[s:e].tobytes() + (at[s:e] - at[s]).tobytes())], np.uint64).view(np.int64)
+                    is_open[s:e] &= e - s > 1  # a lone seed makes no chain
+                out.append((seed, np.full(at.size, doc), at, is_open, cluster))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), wanted, strict=True)], schema=wanted)
+
+    spans = explained.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    return shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "seed"))).alias("held")).join(spans, "doc", "left").select("doc", "held", "spans").mapInArrow(run, HELD)
+
+
+def others(held: DataFrame) -> DataFrame:
+    """PAIR rows: every open occurrence of a seed against the first holder of each cluster that has the seed in an earlier document."""
+    wanted = arrow_schema(PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches, 1):
+            seed, doc, at, is_open, cluster = columns
+            start = _starts(columns, 1).tolist()
+            for s, e in zip(start, [*start[1:], seed.size], strict=True):
+                first = s + np.unique(cluster[s:e], return_index=True)[1]
+                first.sort()
+                first = first[doc[first] > doc[s]]  # the first document has met all
+                late = s + np.flatnonzero(is_open[s:e])
+                if not first.size:
+                    continue
+                step = max(1, (1 << 18) // first.size)
+                for i in range(0, late.size, step):
+                    x = late[i : i + step]
+                    n, m = np.nonzero(doc[first][None, :] < doc[x][:, None])
+                    if n.size:
+                        own = doc[x[n]], doc[first[m]], at[x[n]], at[first[m]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(own, wanted, strict=True)], schema=wanted)
+
+    return held.repartition("seed").sortWithinPartitions("seed", "doc", "at").mapInArrow(run, PAIR)
 
 
 class PrefixMaxima:
@@ -299,10 +364,8 @@ def _passages(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) ->
     return texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """REPEAT rows: words start_word to end_word of doc_id repeat words match_start to match_end of match_id, an earlier id."""
-    found = cut(seeds(docs, min_words, id_col, text_col), "seeds")
-    candidates = cut(chained(matches(found), min_words).distinct(), "chains")
+def _verified(docs: DataFrame, candidates: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """REPEAT rows of CHAIN rows."""
     ends = [candidates.select(F.col(x).alias("doc"), F.col(f"{x}_from").alias("start"), F.col(f"{x}_to").alias("stop")) for x in ("late", "early")]
     words = cut(_passages(docs, ends[0].unionByName(ends[1]), id_col, text_col), "passages")
     both = candidates
@@ -322,6 +385,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     return both.select("late", "early", "late_from", "early_from", "late_words", "early_words").mapInArrow(run, REPEAT).distinct()
 
 
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """REPEAT rows: words start_word to end_word of doc_id repeat words match_start to match_end of match_id, an earlier id."""
+    found = cut(seeds(docs, min_words, id_col, text_col), "seeds")
+    met = cut(matches(found), "met")
+    chains_ = cut(chained(met.drop("seed"), min_words).distinct(), "chains")
+    known = cut(_verified(docs, chains_, min_words, similarity, id_col, text_col), "known")
+    shared = met.select("seed", F.col("late").alias("doc"), F.col("at_late").alias("at")).unionByName(met.select("seed", F.col("early").alias("doc"), F.col("at_early").alias("at"))).distinct()
+    left = chained(others(cut(_clusters(shared, known, min_words), "clusters")), min_words)
+    more = cut(left.join(chains_, chains_.columns, "left_anti").distinct(), "more_chains")
+    return known.unionByName(_verified(docs, more, min_words, similarity, id_col, text_col)).distinct()
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats taken out of later documents' texts; documents of which nothing is left go."""
     other, held = unused(docs, "_id"), unused(docs, "_spans")

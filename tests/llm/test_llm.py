@@ -335,6 +335,19 @@ def test_substring_dedup(spark):
     assert left[105] == dict(rows)[105]
 
 
+def test_substring_partial_quotes(spark):
+    """The first and last holders of a passage's seeds hold only parts of it."""
+    for trial in range(2):
+        words = prose(700 + trial, 60).split()
+        parts = [" ".join(words[:30]), " ".join(words[30:])]
+        rows = [(1 + i, f"{prose(710 + 20 * trial + i, 60)} {p}") for i, p in enumerate(parts)]
+        rows += [(3 + i, f"{prose(3000 + 20 * trial + i, 40)} {' '.join(words)} {prose(4000 + 20 * trial + i, 40)}") for i in range(6)]
+        rows += [(9 + i, f"{prose(5000 + 20 * trial + i, 60)} {p}") for i, p in enumerate(parts)]
+        left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+        assert [i for i, _ in rows if " ".join(words) in left[i]] == [3]
+        assert all(left[i] == t for i, t in rows if i in (1, 2, 9, 10))
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
