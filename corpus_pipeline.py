@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quiverlake.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
+from quiverlake.llm import exact_dedup, near_copies, packing, substring_dedup, toxicity
 from quiverlake.llm._common import cut, table
 
 
@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs, similarity=0.8)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
