@@ -31,7 +31,7 @@ MAX_EXAMPLES = 8000  # labelled rows that the machine is fitted on
 WORDS = 1 << 12  # buckets of words
 BINS = 10  # of each statistic
 RANK = 8  # of the interactions
-CACHED = 400_000  # words in a worker's cache
+CACHED = 100_000  # words in a worker's cache
 
 _CLASSES = ["upper", "lower", "digit", "blank", "exclaim", "symbol", "bar", "stop", "other", "wide"]
 _STATS = [*_CLASSES, "repeated_next", "distinct", "commonest", "repeated_lines", "line_length", "word_length", "words", "n_chars"]
@@ -130,35 +130,39 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs
 
 
 def _vectors(docs: DataFrame, label: str) -> DataFrame:
-    schema = f"{label} int, cells array<int>, vals array<float>"
+    schema = f"{label} int, _order long, cells array<int>, vals array<float>"
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            made = [features(t, n, hashes) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.astype(np.int32) for c, _ in made], wanted[1].type), pa.array([v.astype(np.float32) for _, v in made], wanted[2].type)], schema=wanted)
+            made = [features(t, n, hashes) for t, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.astype(np.int32) for c, _ in made], wanted[2].type), pa.array([v.astype(np.float32) for _, v in made], wanted[3].type)], schema=wanted)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(label, F.xxhash64("_id").alias("_order"), "_text", "_n").mapInArrow(run, schema)
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int], most: int, id_col: str = "doc_id") -> DataFrame:
-    """Labelled rows of docs to learn from, at most ``most``: with _label, 0 or 1. out: modulus and held-out remainder.
+    """Labelled rows of docs to learn from, at most ``most``: _id, _label (0 or 1) and docs' other columns. out: modulus and held-out remainder.
 
-    docs: the id, and columns other than _id and _label.
+    docs: the id, and columns other than _id and _label. Of rows with one id that with the smallest hash teaches.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), *out))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)  # at most ``most`` pairs of numbers
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
+    rest = [c for c in docs.columns if c != id_col]
+    least = F.min(F.struct(F.xxhash64(*rest).alias("_hash"), *rest)).alias("_row")
+    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).groupBy("_id", "_label").agg(least).select("_id", "_label", *(F.col(f"_row.{c}") for c in rest))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", out: tuple[int, int] = (4, 2), threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     mine = docs.select(F.col(id_col), text_of(text_col).alias("_text"), length.alias("_n"))
-    taught = examples(mine, labels, label, out, max_examples, id_col).select("_label", "_text", "_n")
-    rows = _vectors(taught, "_label").limit(max_examples).toPandas()  # bounded: max_examples sparse vectors
-    machine = fit([(np.asarray(c, np.int64), np.asarray(v, np.float64)) for c, v in zip(rows["cells"], rows["vals"], strict=True)], rows["_label"].to_numpy(np.float64))
+    taught = examples(mine, labels, label, out, max_examples, id_col).select("_id", "_label", "_text", "_n")
+    # Bounded: max_examples sparse vectors, in an order that owes nothing to partitions.
+    rows = _vectors(taught, "_label").collect()
+    rows.sort(key=lambda r: (r._order, r._label, r.cells, r.vals))
+    machine = fit([(np.asarray(r.cells, np.int64), np.asarray(r.vals, np.float64)) for r in rows], np.array([r._label for r in rows], np.float64))
     model = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double"
     wanted = arrow_schema(schema)
