@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are lower-cased words and their first four, five and six letters, so that inflected forms meet. The
-vocabulary holds terms that stand out among the toxic examples (by log-likelihood ratio, which tells chance
-from cause, and by lift, which leaves out common words that toxic texts merely have a little more of). The labelled
-examples are TF-IDF vectors over it, in an inverted index whose postings lie in blocks of ``BLOCK``
-examples, each with the largest weight per term; a search takes blocks by their upper bound and stops once
-no block can hold a nearer example, so the ``k`` nearest are exact. Neighbours vote with their cosine, and
+vocabulary is bounded by its size alone: the ``VOCABULARY`` terms that tell toxic examples best, by log-likelihood
+ratio, common or rare. (All terms at once put the topic before the tone: see the README's figures.) The first
+``INDEXED`` labelled examples are TF-IDF vectors over it, in an inverted index whose postings lie in blocks of
+``BLOCK`` examples, each with the largest weight per term; a search takes blocks by their upper bound and stops
+once no block can hold a nearer example, so the ``k`` nearest are exact. Neighbours vote with their cosine, and
 the vote is calibrated (isotonic) on the examples' own leave-one-out votes. Texts that share no term with
 any example get the examples' rate of label 1 among such texts. Evidence is the nearest examples.
 
 The examples are at most ``max_examples`` labelled rows (first by a hash of their id) outside the held-out
-remainder; equal texts among them count once. Scoring is one pass with the index broadcast.
+remainder; equal texts among them count once, under their smallest id. Terms are counted over all of them.
+Scoring is one pass with the index broadcast. Nothing depends on partitions.
 
 Defined results: null text is empty and has a score; rows whose label is null teach nothing; without labels
 of both kinds every score is the share of label 1 (0 without any); ties among neighbours go to the smaller
@@ -33,15 +34,13 @@ from pyspark.sql import functions as F
 from ._common import arrow_schema, cut, held_out, text_of
 from .quality import examples
 
-MAX_EXAMPLES = 20_000
-VOCABULARY = 4096  # terms at most
-LEAST_TOXIC = 3  # toxic examples that hold a term, at least
-LEAST_SHARE = 0.015  # of the toxic examples that hold a term, at least
-LEAST_RATIO = 15.0  # log-likelihood ratio of a term, at least
-LEAST_LIFT = 5.0  # times that a term is commoner in toxic examples than in others, at least
+MAX_EXAMPLES = 20_000  # labelled rows that terms are counted over
+INDEXED = 4000  # of them that are neighbours, first by a hash of their id
+VOCABULARY = 2048  # terms at most
+LEAST_TOXIC = 3  # toxic examples that hold a term, at least: fewer say nothing
 NEIGHBOURS = 16
 BLOCK = 64
-CACHED = 400_000
+CACHED = 150_000
 
 _word = re.compile(r"\w+")
 
@@ -194,8 +193,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Voter:
     """The index, and what votes mean."""
 
-    def __init__(self, vectors: Vectors, index: BlockMaxIndex, k: int):
-        self.vectors, self.index, self.k = vectors, index, k
+    def __init__(self, vectors: Vectors, index: BlockMaxIndex, k: int, names: list):
+        self.vectors, self.index, self.k, self.names = vectors, index, k, names
         self.none, self.at, self.value = 0.0, np.empty(0), np.empty(0)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
@@ -209,30 +208,28 @@ class Voter:
         some = [(v, y) for v, y in zip(votes, labels, strict=True) if v is not None]
         self.at, self.value = isotonic(np.array([v for v, _ in some]), np.array([float(y) for _, y in some])) if some else (np.empty(0), np.empty(0))
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, text: str) -> tuple[float, list[tuple]]:
         vote, places, cosines = self.vote(*self.vectors.of(text))
         if vote is None or not self.at.size:
             return self.none, []
         s = self.value[max(0, np.searchsorted(self.at, vote, "right") - 1)]
-        return float(s), [(int(self.index.ids[p]), float(c), int(self.index.labels[p])) for p, c in zip(places, cosines, strict=True)]
+        return float(s), [(self.names[self.index.ids[p]], float(c), int(self.index.labels[p])) for p, c in zip(places, cosines, strict=True)]
 
 
 def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
     """taught: (id, _label, text), bounded."""
-    taught = cut(taught.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["_mark", "_label"]).select("id", "_label", "text"), "examples")
+    taught = cut(taught.groupBy("text", "_label").agg(F.min("id").alias("id")).select("id", "_label", "text"), "examples")
     size = {r._label: r.n for r in taught.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     n1, n0 = size.get(1, 0), size.get(0, 0)
     idf: dict[str, float] = {}
     if n1 and n0:
-        least = max(LEAST_TOXIC, math.ceil(LEAST_SHARE * n1))
-        candidates = term_counts(taught.where("_label = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(16 * VOCABULARY)
-        toxic = {r.term: r.n for r in candidates.collect()}  # at most 16 * VOCABULARY terms
+        # Bounded: the terms of at most max_examples texts, those of LEAST_TOXIC texts and more.
+        toxic = {r.term: r.n for r in term_counts(taught.where("_label = 1"), None).where(F.col("n") >= LEAST_TOXIC).collect()}
         clean = {r.term: r.n for r in term_counts(taught.where("_label = 0"), set(toxic)).collect()}
         found = sorted(((ratio(n, n1, clean.get(t, 0), n0), t) for t, n in toxic.items()), key=lambda x: (-x[0], x[1]))
-        stands_out = [t for g, t in found if g >= LEAST_RATIO and toxic[t] / n1 >= LEAST_LIFT * clean.get(t, 0) / n0]
-        idf = {t: math.log((n1 + n0 + 1) / (toxic[t] + clean.get(t, 0) + 1)) for t in stands_out[:VOCABULARY]}
+        idf = {t: math.log((n1 + n0 + 1) / (toxic[t] + clean.get(t, 0) + 1)) for g, t in found[:VOCABULARY] if g > 0}
     vectors = Vectors(idf)
-    schema = "id long, _label int, terms array<int>, weights array<double>"
+    schema = f"id {taught.schema['id'].dataType.simpleString()}, _label int, terms array<int>, weights array<double>"
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +237,13 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
             made = [vectors.of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.astype(np.int32) for t, _ in made], wanted[2].type), pa.array([w for _, w in made], wanted[3].type)], schema=wanted)
 
-    rows = taught.mapInArrow(run, schema).toPandas().sort_values(["id", "_label"])  # bounded: max_examples short vectors
-    ids, labels = rows["id"].tolist(), rows["_label"].tolist()
-    own = [(np.asarray(t, np.int64), np.asarray(w, np.float64)) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
-    voter = Voter(vectors, BlockMaxIndex(ids, labels, own, len(idf)), k)
+    order = F.xxhash64("id")
+    last = taught.select(order.alias("order")).orderBy("order").limit(INDEXED).agg(F.max("order")).first()[0]
+    rows = taught.where(order <= F.lit(last)).mapInArrow(run, schema).collect()  # bounded: INDEXED short vectors
+    rows.sort(key=lambda r: (r.id, r._label, r.terms, r.weights))
+    ids, labels = list(range(len(rows))), [r._label for r in rows]  # numbered in the order of ids
+    own = [(np.asarray(r.terms, np.int64), np.asarray(r.weights, np.float64)) for r in rows]
+    voter = Voter(vectors, BlockMaxIndex(ids, labels, own, len(idf)), k, [r.id for r in rows])
     voter.calibrate(ids, labels, own)
     vectors.parts.clear()
     return voter
@@ -251,14 +251,15 @@ def fit(taught: DataFrame, k: int = NEIGHBOURS) -> Voter:
 
 def _model(docs: DataFrame, labels: DataFrame, label: str, out: tuple[int, int], max_examples: int, k: int, id_col: str, text_col: str) -> Broadcast:
     mine = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    taught = examples(mine, labels, label, out, max_examples, id_col).select(F.col(id_col).cast("long").alias("id"), "_label", F.col("_text").alias("text"))
+    taught = examples(mine, labels, label, out, max_examples, id_col).select(F.col("_id").alias("id"), "_label", F.col("_text").alias("text"))
     return docs.sparkSession.sparkContext.broadcast(fit(taught, k))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tuple[int, int] = (3, 1), threshold: float = 0.7, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence [(doc_id, cosine, label)], nearest first."""
     model = _model(docs, labels, label, out, max_examples, k, id_col, text_col)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, evidence array<struct<doc_id: bigint, cosine: double, label: int>>"
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, score double, evidence array<struct<doc_id: {labels.schema[id_col].dataType.simpleString()}, cosine: double, label: int>>"
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tupl
             made = [voter.score(t) for t in b.column(1).to_pylist()]
             evidence = pa.array([[dict(zip(("doc_id", "cosine", "label"), e, strict=True)) for e in found] for _, found in made], wanted[2].type)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(wanted[0].type), pa.array([s for s, _ in made], pa.float64()), evidence], schema=wanted)
+        voter.vectors.parts.clear()
 
     scored = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id"), *out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
@@ -282,5 +284,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", out: tu
         for b in batches:
             keep = [voter.score(t or "")[0] < threshold for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, wanted, strict=True)], schema=wanted).filter(pa.array(keep, pa.bool_()))
+        voter.vectors.parts.clear()
 
     return docs.mapInArrow(run, docs.schema)
