@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def misra_gries(keys: Iterator, counters: int) -> dict:
     return held
 
 
+def merged_counts(parts: Iterator[np.ndarray], counters: int) -> dict:
+    """``misra_gries`` of whole numbers, a batch at a time: counts are added up, and the largest that has no place is taken off all."""
+    held, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in parts:
+        own, size = np.unique(part, return_counts=True)
+        held, at = np.unique(np.concatenate([held, own]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, size])).astype(np.int64) if held.size else n
+        if held.size > counters:
+            n = n - np.partition(n, held.size - counters - 1)[held.size - counters - 1]
+            held, n = held[n > 0], n[n > 0]
+    return dict(zip(held.tolist(), n.tolist(), strict=True))
+
+
 def frequent(keyed: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     """Candidates for keys with more than about rows / counters rows; at most ``counters`` rows.
 
@@ -46,7 +60,10 @@ def frequent(keyed: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     wanted = arrow_schema(schema)
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = misra_gries((k for b in batches for k in b.column(0).to_pylist()), counters)
+        if pa.types.is_int64(wanted[0].type):
+            held = merged_counts((b.column(0).drop_null().to_numpy() for b in batches), counters)
+        else:
+            held = misra_gries((k for b in batches for k in b.column(0).to_pylist()), counters)
         # One occurrence in a partition says nothing: such keys would only be shuffled in vain.
         rows = [(k, n) for k, n in held.items() if n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(wanted)], schema=wanted)

@@ -2,11 +2,15 @@
 
 A document's words (ASCII lower case) give k-mers; the k-mers that are minimal in a window of ``window``
 k-mers are its seeds, so a common run of window + k - 1 words always has a common seed. Documents that
-share a seed meet at the seed's first and last document (by id), not in all pairs: rows of a seed stay
-linear in its occurrences. Seeds with more than about a thousandth of all rows (at most ``COUNTERS`` of
-them, found by Misra-Gries summaries) are matched map-side with their broadcast first and last documents.
-What no repeat explains then meets every earlier document, one for each cluster of stretches that hold the same
-shared seeds at the same distances, so a passage whose first and last holders quote it in part is found too.
+share a seed meet along the seed's documents in order: each meets the first one and the one before it, so
+rows of a seed stay linear in its occurrences, and a seed's rows stream past. Seeds with more than about a
+thousandth of all rows (at most ``COUNTERS`` of them, found by Misra-Gries summaries) are dealt by a salt, and
+meet their first document by a broadcast.
+
+The first holder of a seed, or the one before, may hold a part of the passage only. So what no repeat explains
+meets again, along longer keys: the seeds in a row, with their distances, that span ``SPANS`` words. A verbatim
+run of ``min_words`` words has a key of the shorter span in common wherever it stands. What only
+documents off both orders would show is still not found; tests hold the result against all pairs.
 
 The matches of two documents are chained in order: a chain's score is the words of its seeds less a gap
 cost in proportion to the words skipped on either side, and the best predecessor comes from a Fenwick tree
@@ -16,9 +20,10 @@ comparing words, and stretches of at least ``min_words`` words on both sides who
 ``similarity`` (Jaccard) are repeats. The later document, by id, holds the repeat.
 
 Defined results: null text is empty; a text with fewer than ``min_words`` words has no repeats; a document
-isn't compared with itself, nor rows that share an id with each other; rows with a null id are kept by
-``remove_repeats`` and take no part otherwise; an empty table gives an empty result; other columns are not
-read.
+is its id and text, so rows with one id and different texts are documents of their own (by id, then a hash of the
+text), and rows repeated with the same id and text are one document; a document isn't compared with itself; rows
+with a null id are kept by ``remove_repeats`` and take no part otherwise; ids may be of any type that has an
+order; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.indexes import SLOT, dense_slots
 from ._common import arrow_schema, cut, text_of, unused
 from .exact_dedup import frequent
 
@@ -40,16 +47,18 @@ MIN_WORDS, SIMILARITY = 50, 0.8
 GAP = 0.05  # cost of a skipped word, in words
 BREAK = 12  # words skipped in an alignment that end a passage
 COUNTERS = 1024
-CACHED = 400_000
+SALTS = 64  # that a hot seed is dealt by
+SPANS = (WINDOW - 1, 2 * WINDOW - 2)  # words from the first to the last seed of a key, at least
+CACHED = 100_000
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-PAIR = "late long, early long, at_late int, at_early int"
+PAIR = "late long, early long, at_late int, at_early int, span int"
 MET = f"seed long, {PAIR}"
-HELD = "seed long, doc long, at int, open int, cluster long"
+HELD = "seed long, doc long, at int, span int, open boolean"
 CHAIN = "late long, early long, late_from int, late_to int, early_from int, early_to int"
-REPEAT = "doc_id long, start_word int, end_word int, match_id long, match_start int, match_end int, similarity double"
+REPEAT = "doc long, start_word int, end_word int, match long, match_start int, match_end int, similarity double"
 
 
 class WordHashes(dict):
@@ -84,8 +93,22 @@ def minimizers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.concatenate([views[i : i + 65536].argmin(1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)]))
 
 
-def seeds(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(seed, doc, at)"""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text), doc in the order of ids; and (doc, id, mark), or None if doc is the id.
+
+    Ids that are whole numbers and occur once are taken as they are. Else distinct ids and texts are numbered.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType) and not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return rows.select(F.col("id").cast("long").alias("doc"), "text"), None
+    marked = rows.withColumn("mark", F.sha2("text", 256))
+    names = cut(dense_slots(marked.select("id", "mark").distinct(), ["id", "mark"]).withColumnRenamed(SLOT, "doc"), "names")
+    once = marked.dropDuplicates(["id", "mark"]).join(names, ["id", "mark"]).select("doc", "text")
+    return cut(once, "numbered"), names
+
+
+def seeds(texts: DataFrame, min_words: int) -> DataFrame:
+    """(seed, doc, at) of (doc, text)"""
     schema = "seed long, doc long, at int"
     wanted = arrow_schema(schema)
 
@@ -103,24 +126,32 @@ def seeds(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFr
                     places.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs_)), pa.array(np.concatenate(places))], schema=wanted)
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """The columns of sorted batches, cut where the first ``keys`` columns change: each item holds whole groups."""
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []  # parts of the last group, joined once it ends
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
     for b in batches:
         own = [c.to_numpy() for c in b.columns]
-        held = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
-        if not held[0].size:
+        if not own[0].size:
             continue
-        last = np.logical_and.reduce([c == c[-1] for c in held[:keys]])
+        if held and any(x[0] != y[-1] for x, y in zip(own[:keys], held[-1], strict=False)):
+            yield joined()
+            held = []
+        last = np.logical_and.reduce([c == c[-1] for c in own[:keys]])
         at = int(np.argmax(last))  # sorted: the last group begins here
         if at:
-            yield [c[:at] for c in held]
-            held = [c[at:] for c in held]
-    if held and held[0].size:
-        yield held
+            held.append([c[:at] for c in own])
+            yield joined()
+            held = []
+        held.append([c[at:] for c in own])
+    if held:
+        yield joined()
 
 
 def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
@@ -128,44 +159,58 @@ def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """MET rows: every occurrence of a seed against the seed's first document, and its last document against it."""
+    """MET rows: every open occurrence of a seed against the seed's first document and the document before. found: HELD rows."""
     hot = F.broadcast(cut(frequent(found, "seed", COUNTERS), "hot"))
-    ends = found.join(hot, "seed", "left_semi").groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("lo"), F.max(F.struct("doc", (-F.col("at")).alias("at"))).alias("hi"))
-    ends = F.broadcast(cut(ends.where("lo.doc < hi.doc").select("seed", "lo", F.struct("hi.doc", (-F.col("hi.at")).alias("at")).alias("hi")), "ends"))
-    heavy = found.join(ends, "seed")
-    first = heavy.where("doc > lo.doc").select("seed", F.col("doc").alias("late"), F.col("lo.doc").alias("early"), F.col("at").alias("at_late"), F.col("lo.at").alias("at_early"))
-    last = heavy.where("doc > lo.doc AND doc < hi.doc").select("seed", F.col("hi.doc").alias("late"), F.col("doc").alias("early"), F.col("hi.at").alias("at_late"), F.col("at").alias("at_early"))
+    heavy = found.join(hot, "seed", "left_semi")
+    firsts = F.broadcast(cut(heavy.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("lo")), "firsts"))
+    names = [f.name for f in arrow_schema(MET)]
+    to_first = heavy.where("open").join(firsts, "seed").where("doc > lo.doc").select("seed", F.col("doc").alias("late"), F.col("lo.doc").alias("early"), F.col("at").alias("at_late"), F.col("lo.at").alias("at_early"), "span").select(*names)
     wanted = arrow_schema(MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches, 1):
-            seed, doc, at = columns
-            start = _starts(columns, 1)
-            size = np.diff(np.append(start, doc.size))
-            lo = np.repeat(start, size)
-            # The first row of the last document of each seed.
-            new = np.concatenate([[True], doc[1:] != doc[:-1]])
-            new[start] = True
-            of_doc = np.flatnonzero(new)
-            hi = np.repeat(of_doc[np.searchsorted(of_doc, start + size - 1, "right") - 1], size)
-            a = np.flatnonzero(doc > doc[lo])
-            b = np.flatnonzero((doc > doc[lo]) & (doc < doc[hi]))
-            out = [np.concatenate(x) for x in ((seed[a], seed[b]), (doc[a], doc[hi[b]]), (doc[lo[a]], doc[b]), (at[a], at[hi[b]]), (at[lo[a]], at[b]))]
-            if out[0].size:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, wanted, strict=True)], schema=wanted)
-
-    cold = found.join(hot, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "doc", "at")
-    return first.unionByName(last).unionByName(cold.mapInArrow(run, MET))
-
-
-def _clusters(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFrame:
-    """HELD rows: the shared occurrences, open if a word no repeat explains is within min_words; cluster: what their stretch holds.
-
-    A stretch is a document's occurrences that one repeat could hold. Stretches with the same seeds at the same
-    distances are one cluster. shared: (seed, doc, at); explained: REPEAT rows.
-    """
+        kept: list[np.ndarray] = []  # of the last seed: its first row, the one before the last document's, that one's first
+        for b in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            old = kept[0].size if kept else 0
+            seed, salt, doc, at, span, is_open = own = [np.concatenate(x) for x in zip(kept, own, strict=True)] if kept else own
+            if not seed.size:
+                continue
+            place = np.arange(seed.size)
+            starts = np.append(True, (seed[1:] != seed[:-1]) | (salt[1:] != salt[:-1]))
+            first = np.maximum.accumulate(np.where(starts, place, 0))
+            of_doc = np.maximum.accumulate(np.where(starts | np.append(True, doc[1:] != doc[:-1]), place, 0))
+            a = np.flatnonzero(is_open & (doc > doc[first]) & (place >= old))
+            before = of_doc[a] - 1
+            more = doc[before] != doc[first[a]]
+            late, early = np.append(a, a[more]), np.append(first[a], before[more])
+            if late.size:
+                columns = seed[late], doc[late], doc[early], at[late], at[early], span[late]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, wanted, strict=True)], schema=wanted)
+            i = seed.size - 1
+            kept = [c[sorted({int(first[i]), max(int(first[i]), int(of_doc[i]) - 1), int(of_doc[i])})] for c in own]
+
+    cold = found.join(hot, "seed", "left_anti").withColumn("salt", F.lit(0))
+    dealt = cold.unionByName(heavy.withColumn("salt", (F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).cast("int"))).select("seed", "salt", "doc", "at", "span", "open")
+    return to_first.unionByName(dealt.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc", "at").mapInArrow(run, MET))
+
+
+def _spanning(at: np.ndarray, seed: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the runs of seeds that span so many words: the run's first and last seed, and a hash of its seeds and distances."""
+    last = np.searchsorted(at, at + span)
+    first = np.flatnonzero(last < at.size)
+    last = last[first]
+    h, j = np.zeros(first.size, np.uint64), first.copy()
+    while (on := j <= last).any():
+        own = j[on]
+        x = (h[on] * _MIX) ^ seed[own].view(np.uint64) ^ ((at[own] - at[first[on]]).astype(np.uint64) * _MIX)
+        h[on] = x ^ (x >> np.uint64(29))
+        j[on] += 1
+    return first, last, (h * _MIX).view(np.int64)
+
+
+def longer(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFrame:
+    """HELD rows of runs of seeds; open if a word that no repeat explains is within min_words. shared: (seed, doc, at); explained: REPEAT rows."""
     wanted = arrow_schema(HELD)
-    reach = BREAK + K + 2 * WINDOW  # a repeat's matches lie closer, and each run of WINDOW of them has a seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,46 +224,19 @@ def _clusters(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFr
                 bare = at[~covered[at]]
                 after = np.searchsorted(bare, at)
                 edge = np.concatenate([[-(1 << 30)], bare, [1 << 30]])
-                is_open = np.minimum(edge[after + 1] - at, at - edge[after]) <= min_words
-                start = np.concatenate([[0], np.flatnonzero(np.diff(at) > reach) + 1, [at.size]])
-                cluster = np.empty(at.size, np.int64)
-                for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                    cluster[s:e] = np.array([xxhash.xxh64_intdigest(seed[s:e].tobytes() + (at[s:e] - at[s]).tobytes())], np.uint64).view(np.int64)
-                    is_open[s:e] &= e - s > 1  # a lone seed makes no chain
-                out.append((seed, np.full(at.size, doc), at, is_open, cluster))
+                near = np.minimum(edge[after + 1] - at, at - edge[after]) <= min_words
+                for span in SPANS:
+                    first, last, key = _spanning(at, seed, span)
+                    own = at[last] - at[first] <= span + BREAK + K + 2 * WINDOW  # a repeat's matches lie closer, and each run of WINDOW of them has a seed
+                    first, last, key = first[own], last[own], key[own]
+                    out.append((key, np.full(first.size, doc), at[first], at[last] - at[first], near[first] | near[last]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), wanted, strict=True)], schema=wanted)
 
-    spans = explained.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    spans = explained.groupBy("doc").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     return shared.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "seed"))).alias("held")).join(spans, "doc", "left").select("doc", "held", "spans").mapInArrow(run, HELD)
 
 
-def others(held: DataFrame) -> DataFrame:
-    """PAIR rows: every open occurrence of a seed against the first holder of each cluster that has the seed in an earlier document."""
-    wanted = arrow_schema(PAIR)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches, 1):
-            seed, doc, at, is_open, cluster = columns
-            start = _starts(columns, 1).tolist()
-            for s, e in zip(start, [*start[1:], seed.size], strict=True):
-                first = s + np.unique(cluster[s:e], return_index=True)[1]
-                first.sort()
-                first = first[doc[first] > doc[s]]  # the first document has met all
-                late = s + np.flatnonzero(is_open[s:e])
-                if not first.size:
-                    continue
-                step = max(1, (1 << 18) // first.size)
-                for i in range(0, late.size, step):
-                    x = late[i : i + step]
-                    n, m = np.nonzero(doc[first][None, :] < doc[x][:, None])
-                    if n.size:
-                        own = doc[x[n]], doc[first[m]], at[x[n]], at[first[m]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(own, wanted, strict=True)], schema=wanted)
-
-    return held.repartition("seed").sortWithinPartitions("seed", "doc", "at").mapInArrow(run, PAIR)
-
-
 class PrefixMaxima:
     """Fenwick tree: the largest (value, item) put at a place before another."""
 
@@ -277,7 +295,8 @@ def chained(pairs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches, 2):
-            late, early, x, y = columns
+            once = _starts(columns, 4)
+            late, early, x, y = columns = [c[once] for c in columns]
             start = _starts(columns, 2)
             rows = []
             for s, e in zip(start.tolist(), np.append(start[1:], late.size).tolist(), strict=True):
@@ -290,7 +309,10 @@ def chained(pairs: DataFrame, min_words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(wanted)], schema=wanted)
 
-    return pairs.repartition("late", "early").sortWithinPartitions("late", "early", "at_late", "at_early").mapInArrow(run, CHAIN)
+    # A key of several seeds matches at its last one too.
+    ends = pairs.where("span > 0").select("late", "early", (F.col("at_late") + F.col("span")).alias("at_late"), (F.col("at_early") + F.col("span")).alias("at_early"))
+    both = pairs.select("late", "early", "at_late", "at_early").unionByName(ends)
+    return both.repartition("late", "early").sortWithinPartitions("late", "early", "at_late", "at_early").mapInArrow(run, CHAIN)
 
 
 def _filled(ka: np.ndarray, kb: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -345,7 +367,7 @@ def aligned(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) ->
     return out
 
 
-def _passages(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _passages(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc, start, stop, words): the word hashes of asked (doc, start, stop)."""
     schema = "doc long, start int, stop int, words binary"
     wanted = arrow_schema(schema)
@@ -360,14 +382,13 @@ def _passages(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(wanted)], schema=wanted)
 
     spans = asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     return texts.join(spans, "doc").select("doc", "text", "spans").mapInArrow(run, schema)
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+def _verified(texts: DataFrame, candidates: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """REPEAT rows of CHAIN rows."""
     ends = [candidates.select(F.col(x).alias("doc"), F.col(f"{x}_from").alias("start"), F.col(f"{x}_to").alias("stop")) for x in ("late", "early")]
-    words = cut(_passages(docs, ends[0].unionByName(ends[1]), id_col, text_col), "passages")
+    words = cut(_passages(texts, ends[0].unionByName(ends[1])), "passages")
     both = candidates
     for x in ("late", "early"):
         own = words.select(F.col("doc").alias(x), F.col("start").alias(f"{x}_from"), F.col("stop").alias(f"{x}_to"), F.col("words").alias(f"{x}_words"))
@@ -385,23 +406,41 @@ def _verified(docs: DataFrame, candidates: DataFrame, min_words: int, similarity
     return both.select("late", "early", "late_from", "early_from", "late_words", "early_words").mapInArrow(run, REPEAT).distinct()
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """REPEAT rows: words start_word to end_word of doc_id repeat words match_start to match_end of match_id, an earlier id."""
-    found = cut(seeds(docs, min_words, id_col, text_col), "seeds")
-    met = cut(matches(found), "met")
-    chains_ = cut(chained(met.drop("seed"), min_words).distinct(), "chains")
-    known = cut(_verified(docs, chains_, min_words, similarity, id_col, text_col), "known")
+def _repeats(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """REPEAT rows of (doc, text)."""
+    found = cut(seeds(texts, min_words), "seeds")
+    met = cut(matches(found.select("seed", "doc", "at", F.lit(0).alias("span"), F.lit(True).alias("open"))), "met")
+    chains_ = cut(chained(met, min_words).distinct(), "chains")
+    known = cut(_verified(texts, chains_, min_words, similarity), "known")
     shared = met.select("seed", F.col("late").alias("doc"), F.col("at_late").alias("at")).unionByName(met.select("seed", F.col("early").alias("doc"), F.col("at_early").alias("at"))).distinct()
-    left = chained(others(cut(_clusters(shared, known, min_words), "clusters")), min_words)
+    left = chained(matches(cut(longer(shared, known, min_words), "longer")), min_words)
     more = cut(left.join(chains_, chains_.columns, "left_anti").distinct(), "more_chains")
-    return known.unionByName(_verified(docs, more, min_words, similarity, id_col, text_col)).distinct()
+    return known.unionByName(_verified(texts, more, min_words, similarity)).distinct()
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start_word, end_word, match_id, match_start, match_end, similarity: words of doc_id that repeat words of match_id, an earlier document."""
+    texts, names = numbered(docs, id_col, text_col)
+    found = _repeats(texts, min_words, similarity)
+    kind = docs.schema[id_col].dataType
+    if names is None:
+        late, early = F.col("doc").cast(kind), F.col("match").cast(kind)
+    else:
+        found = cut(found, "repeats").join(names.select("doc", F.col("id").alias("late")), "doc").join(names.select(F.col("doc").alias("match"), F.col("id").alias("early")), "match")
+        late, early = F.col("late"), F.col("early")
+    return found.select(late.alias("doc_id"), "start_word", "end_word", early.alias("match_id"), "match_start", "match_end", "similarity")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats taken out of later documents' texts; documents of which nothing is left go."""
-    other, held = unused(docs, "_id"), unused(docs, "_spans")
-    gone = repeats(docs, min_words, similarity, id_col, text_col).groupBy(F.col("doc_id").alias(other)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(held))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(other), "left").drop(other)
+    other, own, held = unused(docs, "_id"), unused(docs, "_mark"), unused(docs, "_spans")
+    texts, names = numbered(docs, id_col, text_col)
+    gone = _repeats(texts, min_words, similarity).groupBy("doc").agg(F.collect_set(F.struct("start_word", "end_word")).alias(held))
+    if names is None:
+        joined = docs.join(gone.withColumnRenamed("doc", other), F.col(id_col).cast("long") == F.col(other), "left").drop(other)
+    else:
+        named = gone.join(names, "doc").select(F.col("id").alias(other), F.col("mark").alias(own), held)
+        joined = docs.join(named, (F.col(id_col) == F.col(other)) & (F.sha2(text_of(text_col), 256) == F.col(own)), "left").drop(other, own)
     wanted = arrow_schema(docs.schema)
     place = docs.columns.index(text_col)
 
