@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_schema, count_rows, cut, text_of
-from .word_ids import WordIds
+from .word_ids import of_worker
 
 CAPACITY = 4096
 PER_BUCKET = 2048  # pieces to a bucket, about
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = of_worker(tokenizer)
         for b in batches:
             whose, rows = [], []
             for i, text in enumerate(b.column(1)):
@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append((n, at // 4, len(own) // 4, zlib.crc32(own)))
             columns = [b.column(0).cast(wanted[0].type).take(pa.array(whose, pa.int64())), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(wanted)[1:]))]
             yield pa.RecordBatch.from_arrays(columns, schema=wanted)
+        words.forget()
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ end of a word as a byte that UTF-8 never uses. Texts that may hold a special tok
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -16,7 +17,8 @@ import unicodedata
 
 import regex
 
-CACHED = 200_000  # parts in a worker's cache
+CACHED = 24 << 20  # bytes of parts and ids in a worker's cache, and as much again for the table that holds them
+ENTRY = 200  # bytes that an entry takes beside its characters and ids
 LONGEST = 64  # characters of a part that is kept
 END = b"\xff"
 
@@ -38,6 +40,7 @@ class WordIds(dict):
 
     def __init__(self, path: str, special: tuple[str, ...] = ("<|",)):
         super().__init__()
+        self.room = CACHED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
@@ -56,18 +59,29 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHED:
-            self.clear()
         if _plain.fullmatch(part) and unicodedata.is_normalized("NFC", part):
             ids = [i for w in _pattern.findall(part.lower()) for i in self.merge(w.encode() + END)]
             packed = struct.pack(f"<{len(ids)}I", *ids)
         else:
             packed = self.whole(part)
         if len(part) <= LONGEST:
+            self.room -= ENTRY + len(part) + len(packed)
+            if self.room < 0:
+                self.forget()
             self[part] = packed
         return packed
 
+    def forget(self) -> None:
+        self.clear()
+        self.room = CACHED
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@functools.cache
+def of_worker(path: str) -> WordIds:
+    """One for all partitions that a worker process gets: the tokenizer is read once, and never held twice."""
+    return WordIds(path)
