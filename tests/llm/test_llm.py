@@ -348,6 +348,46 @@ def test_substring_partial_quotes(spark):
         assert all(left[i] == t for i, t in rows if i in (1, 2, 9, 10))
 
 
+def test_substring_recall(spark):
+    """Quotes of any part of passages, in any order of documents: words that an all-pairs comparison calls repeated are found."""
+    rng = np.random.default_rng(31)
+    passages = [prose(9100 + i, int(rng.integers(60, 130))).split() for i in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [prose(9200 + i, 30)]
+        for _ in range(int(rng.integers(1, 3))):
+            p = passages[int(rng.integers(6))]
+            n = int(rng.integers(20, len(p) + 1)) if rng.random() < 0.6 else len(p)
+            at = int(rng.integers(0, len(p) - n + 1))
+            parts += [" ".join(p[at : at + n]), prose(9400 + 3 * i + len(parts), 25)]
+        rows.append((i, " ".join(parts)))
+    words = {i: t.split() for i, t in rows}
+    runs = {i: {" ".join(w[k : k + 50]): k for k in range(len(w) - 49)} for i, w in words.items()}
+    wanted = {(i, k + j) for i in words for run, k in runs[i].items() if any(run in runs[e] for e in range(i)) for j in range(50)}
+    found = {(r.doc_id, k) for r in substring_dedup.repeats(docs(spark, rows)).collect() for k in range(r.start_word, r.end_word)}
+    assert len(wanted) > 5000 and len(found & wanted) / len(wanted) >= 0.99
+
+
+def test_substring_ids(spark):
+    """Rows of one id with different texts are documents of their own; ids of any type."""
+    passage, other = prose(77, 60), prose(4242, 100)
+    rows = [(1, f"{prose(1, 40)} {passage}"), (2, f"{passage} {prose(2, 30)}"), (2, other), (2, other)]
+    left = Counter((r.doc_id, r.text) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect())
+    assert left == Counter([(1, rows[0][1]), (2, prose(2, 30)), (2, other), (2, other)])
+    named = docs(spark, rows).withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    assert {(r.doc_id, r.match_id) for r in substring_dedup.repeats(named).collect()} == {("n2", "n1")}
+
+
+def test_merged_counts():
+    rng = np.random.default_rng(8)
+    keys = np.concatenate([rng.integers(0, 5000, 20_000), np.full(4000, -7), np.full(900, 11)])
+    rng.shuffle(keys)
+    held = exact_dedup.merged_counts(np.array_split(keys, 37), 64)
+    true = Counter(keys.tolist())
+    assert len(held) <= 64 and {-7, 11} <= set(held)
+    assert all(true[k] - keys.size / 65 <= n <= true[k] for k, n in held.items())
+
+
 def test_chains_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -441,6 +481,49 @@ def test_classifiers(spark, operator, column, modulus, remainder):
     assert got(operator(d, turned), "doc_id", "score") == Counter((r.doc_id, r.score) for r in made)
 
 
+@pytest.mark.parametrize("operator", [quality.quality, toxicity.toxicity])
+def test_scores_owe_nothing_to_partitions(spark, operator):
+    d, labels, _ = labelled(spark, 250)
+    labels = labels.union(labels.where("doc_id < 40").selectExpr("doc_id", "1 - quality", "1 - toxic"))
+    once, again = (Counter((r.doc_id, r.score, str(r.asDict().get("evidence"))) for r in operator(x, y).collect()) for x, y in ((d, labels), (d.repartition(7), labels.repartition(3))))
+    assert once == again
+
+
+def test_toxicity_by_brute_force(spark):
+    """Scores and evidence of the whole operator against dense cosines over the same terms."""
+    d, labels, _ = labelled(spark, 200)
+    made = {r.doc_id: r for r in toxicity.toxicity(d.where("doc_id > 12"), labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in d.where("doc_id > 12").collect()}
+    known = {r.doc_id: r.toxic for r in labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    first = {}
+    for i in sorted(known):
+        first.setdefault((texts[i], known[i]), i)
+    known = {i: known[i] for i in first.values()}
+    held = {i: {t for w in toxicity._stated(texts[i]) for t in toxicity.terms_of(w)} for i in known}
+    n1 = sum(known.values())
+    n0, counts = len(known) - n1, [Counter(t for i in known if known[i] == y for t in held[i]) for y in (0, 1)]
+    ranked = sorted(((toxicity.ratio(n, n1, counts[0][t], n0), t) for t, n in counts[1].items() if n >= 3), key=lambda x: (-x[0], x[1]))
+    idf = {t: np.log((n1 + n0 + 1) / (counts[1][t] + counts[0][t] + 1)) for g, t in ranked[: toxicity.VOCABULARY] if g > 0}
+    number = {t: k for k, t in enumerate(idf)}
+
+    def vector(text):
+        v = np.zeros(len(idf))
+        for t, n in Counter(t for w in toxicity._stated(text) for t in toxicity.terms_of(w) if t in idf).items():
+            v[number[t]] = (1 + np.log(n)) * idf[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    ids = sorted(known)
+    dense = np.array([vector(texts[i]) for i in ids])
+    seen = 0
+    for i, text in texts.items():
+        s = np.round(dense @ vector(text), 12)
+        want = [(ids[j], known[ids[j]]) for j in np.lexsort((ids, -s)) if s[j] > 0][:16]
+        assert [(e.doc_id, e.label) for e in made[i].evidence] == want
+        assert np.allclose([e.cosine for e in made[i].evidence], sorted(s[s > 0], reverse=True)[:16])
+        seen += bool(want)
+    assert seen > 100
+
+
 def test_one_kind_of_label(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in quality.quality(docs(spark, ODD), labels).collect()} == {1}
