@@ -2,15 +2,14 @@
 
 A document's words (ASCII lower case) give k-mers; the k-mers that are minimal in a window of ``window``
 k-mers are its seeds, so a common run of window + k - 1 words always has a common seed. Documents that
-share a seed meet along the seed's documents in order: each meets the first one and the one before it, so
-rows of a seed stay linear in its occurrences, and a seed's rows stream past. Seeds with more than about a
-thousandth of all rows (at most ``COUNTERS`` of them, found by Misra-Gries summaries) are dealt by a salt, and
-meet their first document by a broadcast.
+share a seed meet its first document, not each other, so rows of a seed stay linear in its occurrences, and a
+seed's rows stream past. Seeds with many rows (at most ``COUNTERS`` of them, found by Misra-Gries summaries) meet
+their first document map-side, by a broadcast.
 
-The first holder of a seed, or the one before, may hold a part of the passage only. So what no repeat explains
-meets again, along longer keys: the seeds in a row, with their distances, that span ``SPANS`` words. A verbatim
-run of ``min_words`` words has a key of the shorter span in common wherever it stands. What only
-documents off both orders would show is still not found; tests hold the result against all pairs.
+The first holder of a seed may hold a part of the passage only. So what no repeat explains meets again, along
+longer keys: the seeds in a row, with their distances, that span ``SPANS`` words. A verbatim run of ``min_words``
+words has a key of the shorter span in common wherever it stands. A repeat that no first holder shows is not found;
+tests hold the result against all pairs.
 
 The matches of two documents are chained in order: a chain's score is the words of its seeds less a gap
 cost in proportion to the words skipped on either side, and the best predecessor comes from a Fenwick tree
@@ -46,8 +45,7 @@ K, WINDOW = 5, 16
 MIN_WORDS, SIMILARITY = 50, 0.8
 GAP = 0.05  # cost of a skipped word, in words
 BREAK = 12  # words skipped in an alignment that end a passage
-COUNTERS = 1024
-SALTS = 64  # that a hot seed is dealt by
+COUNTERS = 8192
 SPANS = (WINDOW - 1, 2 * WINDOW - 2)  # words from the first to the last seed of a key, at least
 CACHED = 100_000
 
@@ -159,7 +157,7 @@ def _starts(columns: list[np.ndarray], keys: int) -> np.ndarray:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """MET rows: every open occurrence of a seed against the seed's first document and the document before. found: HELD rows."""
+    """MET rows: every open occurrence of a seed against the seed's first document. found: HELD rows."""
     hot = F.broadcast(cut(frequent(found, "seed", COUNTERS), "hot"))
     heavy = found.join(hot, "seed", "left_semi")
     firsts = F.broadcast(cut(heavy.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("lo")), "firsts"))
@@ -168,30 +166,25 @@ def matches(found: DataFrame) -> DataFrame:
     wanted = arrow_schema(MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # of the last seed: its first row, the one before the last document's, that one's first
+        kept: list[np.ndarray] = []  # the last seed's first row
         for b in batches:
             own = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             old = kept[0].size if kept else 0
-            seed, salt, doc, at, span, is_open = own = [np.concatenate(x) for x in zip(kept, own, strict=True)] if kept else own
+            seed, doc, at, span, is_open = own = [np.concatenate(x) for x in zip(kept, own, strict=True)] if kept else own
             if not seed.size:
                 continue
             place = np.arange(seed.size)
-            starts = np.append(True, (seed[1:] != seed[:-1]) | (salt[1:] != salt[:-1]))
+            starts = np.append(True, seed[1:] != seed[:-1])
             first = np.maximum.accumulate(np.where(starts, place, 0))
-            of_doc = np.maximum.accumulate(np.where(starts | np.append(True, doc[1:] != doc[:-1]), place, 0))
-            a = np.flatnonzero(is_open & (doc > doc[first]) & (place >= old))
-            before = of_doc[a] - 1
-            more = doc[before] != doc[first[a]]
-            late, early = np.append(a, a[more]), np.append(first[a], before[more])
+            late = np.flatnonzero(is_open & (doc > doc[first]) & (place >= old))
             if late.size:
+                early = first[late]
                 columns = seed[late], doc[late], doc[early], at[late], at[early], span[late]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, wanted, strict=True)], schema=wanted)
-            i = seed.size - 1
-            kept = [c[sorted({int(first[i]), max(int(first[i]), int(of_doc[i]) - 1), int(of_doc[i])})] for c in own]
+            kept = [c[first[-1:]] for c in own]
 
-    cold = found.join(hot, "seed", "left_anti").withColumn("salt", F.lit(0))
-    dealt = cold.unionByName(heavy.withColumn("salt", (F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).cast("int"))).select("seed", "salt", "doc", "at", "span", "open")
-    return to_first.unionByName(dealt.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc", "at").mapInArrow(run, MET))
+    cold = found.join(hot, "seed", "left_anti").select("seed", "doc", "at", "span", "open")
+    return to_first.unionByName(cold.repartition("seed").sortWithinPartitions("seed", "doc", "at").mapInArrow(run, MET))
 
 
 def _spanning(at: np.ndarray, seed: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,8 +201,21 @@ def _spanning(at: np.ndarray, seed: np.ndarray, span: int) -> tuple[np.ndarray,
     return first, last, (h * _MIX).view(np.int64)
 
 
-def longer(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFrame:
-    """HELD rows of runs of seeds; open if a word that no repeat explains is within min_words. shared: (seed, doc, at); explained: REPEAT rows."""
+def _apart(key: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the occurrences that don't overlap the last one kept of their key: a text that goes round and round has few."""
+    order = np.lexsort((at, key))
+    if not (again := key[order][1:] == key[order][:-1]).any():
+        return order
+    kept, last = [], 0
+    for i, same in zip(order.tolist(), [False, *again.tolist()], strict=True):
+        if not same or at[i] >= last:
+            kept.append(i)
+            last = at[i] + size[i]
+    return np.array(kept)
+
+
+def longer(shared: DataFrame, explained: DataFrame) -> DataFrame:
+    """HELD rows of runs of seeds; open if a word that no repeat explains is in reach. shared: (seed, doc, at); explained: REPEAT rows."""
     wanted = arrow_schema(HELD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,18 +224,17 @@ def longer(shared: DataFrame, explained: DataFrame, min_words: int) -> DataFrame
             for doc, held, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 flat = held.values
                 at, seed = flat.field("at").to_numpy(), flat.field("seed").to_numpy()
-                covered = np.zeros(int(at[-1]) + 1, bool)
+                bare = np.ones(int(at[-1]) + K + WINDOW, np.int64)
                 for s in spans or ():
-                    covered[s["start_word"] : max(0, s["end_word"] - K + 1)] = True
-                bare = at[~covered[at]]
-                after = np.searchsorted(bare, at)
-                edge = np.concatenate([[-(1 << 30)], bare, [1 << 30]])
-                near = np.minimum(edge[after + 1] - at, at - edge[after]) <= min_words
+                    bare[s["start_word"] : s["end_word"]] = 0
+                bare = np.append(0, np.cumsum(bare))  # a repeat's outermost seeds are less than WINDOW from its ends
                 for span in SPANS:
                     first, last, key = _spanning(at, seed, span)
                     own = at[last] - at[first] <= span + BREAK + K + 2 * WINDOW  # a repeat's matches lie closer, and each run of WINDOW of them has a seed
                     first, last, key = first[own], last[own], key[own]
-                    out.append((key, np.full(first.size, doc), at[first], at[last] - at[first], near[first] | near[last]))
+                    own = _apart(key, at[first], at[last] - at[first] + K)
+                    first, last, key = first[own], last[own], key[own]
+                    out.append((key, np.full(first.size, doc), at[first], at[last] - at[first], bare[at[last] + K + WINDOW] > bare[np.maximum(0, at[first] - WINDOW)]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*out, strict=True), wanted, strict=True)], schema=wanted)
 
@@ -413,7 +418,7 @@ def _repeats(texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
     chains_ = cut(chained(met, min_words).distinct(), "chains")
     known = cut(_verified(texts, chains_, min_words, similarity), "known")
     shared = met.select("seed", F.col("late").alias("doc"), F.col("at_late").alias("at")).unionByName(met.select("seed", F.col("early").alias("doc"), F.col("at_early").alias("at"))).distinct()
-    left = chained(matches(cut(longer(shared, known, min_words), "longer")), min_words)
+    left = chained(matches(cut(longer(shared, known), "longer")), min_words)
     more = cut(left.join(chains_, chains_.columns, "left_anti").distinct(), "more_chains")
     return known.unionByName(_verified(texts, more, min_words, similarity)).distinct()
 
