@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; our own one only where none is set (tests, one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
