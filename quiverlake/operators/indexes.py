@@ -59,6 +59,7 @@ class VectorIndex:
         self.calibrate, self.cells, self.probes, self.two_stage = calibrate, cells, probes, two_stage
         self.centroids: np.ndarray | None = None
         self.decided = False
+        self.payloads: DataFrame | None = None
         self.codes: DataFrame | None = None
         self.size = 0
 
@@ -89,6 +90,7 @@ class VectorIndex:
     def clear(self) -> None:
         """No rows; what was trained stays."""
         self.codes, self.size = None, 0
+        self.payloads = None
 
     # ---- search
 
@@ -144,7 +146,8 @@ class VectorIndex:
         if self.centroids is not None:
             cells = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cell int, centroid array<double>")
         codes = self.codes if self.codes is not None else self.spark.createDataFrame([], self._schema())
-        tables.save(codes, self.spec, path, cells, kind=type(self).__name__, probes=self.probes)
+        settings = {"id_kind": getattr(self, "id_kind", None), "calibrate": self.calibrate, "n_cells": self.cells, "two_stage": self.two_stage, "has_payloads": self.payloads is not None}
+        tables.save(codes, self.spec, path, cells, self.payloads, kind=type(self).__name__, probes=self.probes, **settings)
 
     def _schema(self) -> str:
         return f"{SLOT} long, codes binary, scale float, norm float" + (", cell int" if self.centroids is not None else "")
@@ -154,8 +157,11 @@ class VectorIndex:
         codes, spec, cells, more = tables.load(spark, path)
         if more["kind"] != cls.__name__:
             raise (IdMapError if cls is IdIndex else IndexError_)("WRONG_KIND", f"this is a {more['kind']}")
-        out = cls(spark, spec.dim, spec.bits, spec.metric, spec.seed)
+        out = cls(spark, spec.dim, spec.bits, spec.metric, spec.seed, **({"id_kind": more["id_kind"]} if more["id_kind"] else {}))
         out.spec, out.decided, out.probes = spec, True, more["probes"]
+        out.calibrate, out.cells, out.two_stage = more["calibrate"], more["n_cells"], more["two_stage"]
+        if more["has_payloads"]:
+            out.payloads = tables.materialize(spark.read.parquet(f"{path}/payloads"), "payloads")
         if cells is not None:
             out.centroids = np.array([r.centroid for r in cells.orderBy("cell").collect()])
         out._replace(codes)
@@ -301,7 +307,6 @@ class Collection(IdIndex):
 
     def __init__(self, *args, **more):
         super().__init__(*args, **more)
-        self.payloads: DataFrame | None = None
 
     def upsert(self, points: DataFrame) -> None:
         """points: (id, vector) and maybe payload (a struct). Replaces points of the same ids, payload and all.

@@ -1,4 +1,4 @@
-"""Search that looks into the nearest cells only: a join of queries' probes with codes by cell."""
+"""Search that looks into the nearest cells only: codes meet the queries of their cell where they are read."""
 
 from __future__ import annotations
 
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import codec
 from ..functions.codec import IndexSpec
-from .encode import code_matrix, matrix, with_fields
-from .search import DIGITS, check_k, search, top_rows
+from .encode import matrix, with_fields
+from .search import CHUNK, check_k, search
 from .training import check_probes, default_probes, probe
 
 
@@ -34,60 +33,27 @@ def probes_of(queries: DataFrame, centroids: np.ndarray, spec: IndexSpec, probes
     return listed.select(F.col(query_id).alias("qid"), F.posexplode("cells").alias("place", "cell"))
 
 
-def _cell_scores(codes: DataFrame, asked: DataFrame, spec: IndexSpec, k: int, metric: str, id_col: str) -> DataFrame:
-    """(qid, id, key): codes of a cell against the queries that probe it; at most k rows a query and batch.
-
-    Both sides are dealt by cell; a cell's queries come as one list with each slice of its codes, so a full
-    cell is split over tasks by a salt and its queries are repeated for each salt.
-    """
-    joined = codes.join(asked, ["cell", "salt"])
-    schema = with_fields(joined, [id_col], "qid " + asked.schema["asks"].dataType.elementType["qid"].dataType.simpleString() + ", key double")
-    wanted = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = codec.codebook(spec.dim, spec.bits).levels
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c, cell, ids = levels[code_matrix(b.column("codes"), spec)], b.column("cell").to_numpy(), b.column(id_col)
-            scale, norm = (b.column(x).to_numpy().astype(np.float64) for x in ("scale", "norm"))
-            for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cell)) + 1):
-                asks = b.column("asks")[int(own[0])].as_py()
-                q = np.array([a["vector"] for a in asks])
-                framed, bias = codec.query_frame(q, spec)
-                keys = codec.rank_key(metric, codec.value(metric, c[own] @ framed.T - bias, scale[own, None], norm[own, None], np.sqrt((q**2).sum(1))))
-                keys, m = np.round(keys, DIGITS), min(k, len(own))
-                row, query = np.nonzero(keys >= np.partition(keys, len(own) - m, axis=0)[len(own) - m])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[row])).cast(wanted[0].type), pa.array([asks[i]["qid"] for i in query], wanted[1].type), pa.array(keys[row, query])], schema=wanted)
-
-    return joined.sortWithinPartitions("cell").mapInArrow(run, schema)
-
-
 def search_cells(
     codes: DataFrame, queries: DataFrame, centroids: np.ndarray, spec: IndexSpec, k: int, probes: int | None = None, metric: str | None = None,
-    where: Column | None = None, id_col: str = "id", query_id: str = "qid", column: str = "vector", salts: int = 8,
+    where: Column | None = None, id_col: str = "id", query_id: str = "qid", column: str = "vector",
 ) -> DataFrame:
     """(qid, rank, id, score) from codes with a cell column. All cells probed is a flat search, ties and all.
 
-    One query (or few, up to 16) prunes the cells by a literal list, so unread partitions stay unread.
+    Queries go out in blocks, each with the list of queries by cell; a task scores the rows of a cell against
+    that cell's queries only. No code is shuffled, and cells that no query of a block looks into aren't read.
     """
     check_k(k)
     cells = len(centroids)
     check_probes(cells, probes)
-    probes, metric = probes or default_probes(cells), metric or spec.metric
+    probes = probes or default_probes(cells)
     if probes == cells:
         return search(codes, queries, spec, k, metric, where, id_col, query_id, column)
-    kept = codes if where is None else codes.where(where)
-    wanted = probes_of(queries, centroids, spec, probes, query_id, column).select("qid", "cell")
-    n = queries.count()
-    parts = 1 + n * probes // (cells * 2048)  # lists of about 2048 queries at most
-    if n <= 16:
-        kept = kept.where(F.col("cell").isin([r.cell for r in wanted.select("cell").distinct().collect()]))
-    texts = queries.select(F.col(query_id).alias("qid"), F.col(column).cast("array<double>").alias("vector"))
-    lists = wanted.join(texts, "qid").groupBy("cell", F.pmod(F.xxhash64("qid"), F.lit(parts))).agg(F.collect_list(F.struct("qid", "vector")).alias("asks"))
-    asked = lists.select("cell", "asks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = kept.select(id_col, "codes", "scale", "norm", "cell", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
-    top = top_rows(_cell_scores(salted, asked, spec, k, metric, id_col), k, F.col("key"), id_col)
-    return top.select("qid", "rank", id_col, (-F.col("key") if metric == "euclidean" else F.col("key")).cast("float").alias("score"))
+    step, spherical = max(1, CHUNK // cells), spec.metric != "euclidean"
 
+    def asked(q: np.ndarray) -> dict[int, np.ndarray]:
+        cell = np.concatenate([probe(q[i : i + step], centroids, probes, spherical) for i in range(0, len(q), step)])
+        query = np.repeat(np.arange(len(q)), cell.shape[1])[order := np.argsort(cell.ravel(), kind="stable")]
+        own, start = np.unique(cell.ravel()[order], return_index=True)
+        return dict(zip(own.tolist(), np.split(query, start[1:]), strict=True))
 
+    return search(codes, queries, spec, k, metric, where, id_col, query_id, column, asked=asked)

@@ -11,7 +11,7 @@ left out. Scores are reported as 32-bit floats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -42,6 +42,7 @@ class Queries:
     framed: np.ndarray
     bias: np.ndarray
     norm: np.ndarray
+    asked: dict[int, np.ndarray] | None = None  # the queries that look into a cell; None: all rows count for all
 
 
 def check_k(k: int) -> None:
@@ -56,15 +57,15 @@ def check_queries(q: np.ndarray, dim: int) -> None:
         raise SearchError("ZERO_QUERY", "a zero query has no direction")
 
 
-def blocks(queries: DataFrame, spec: IndexSpec, query_id: str = "qid", column: str = "vector", block: int = BLOCK) -> Iterator[Queries]:
-    """The queries in blocks of at most ``block`` rows, one on the driver at a time."""
+def blocks(queries: DataFrame, spec: IndexSpec, query_id: str = "qid", column: str = "vector", block: int = BLOCK, asked: Callable[[np.ndarray], dict] | None = None) -> Iterator[Queries]:
+    """The queries in blocks of at most ``block`` rows, read one after the other. asked: the cells of a block's vectors."""
     held: list[tuple] = []
 
     def made() -> Queries:
         q = np.array([np.asarray(v, np.float64) for _, v in held]) if len({len(v) for _, v in held}) == 1 else np.empty((0, 0))
         check_queries(q, spec.dim)
         framed, bias = codec.query_frame(q, spec)
-        return Queries([i for i, _ in held], framed, bias, np.sqrt((q**2).sum(1)))
+        return Queries([i for i, _ in held], framed, bias, np.sqrt((q**2).sum(1)), asked(q) if asked else None)
 
     for row in queries.select(query_id, doubles(F.col(column))).toLocalIterator():
         if row[1] is None:
@@ -90,31 +91,55 @@ def _scan(codes: DataFrame, spec: IndexSpec, q: Queries, k: int, metric: str, id
     schema = with_fields(codes, names, f"qid {query_type}, key double")
     wanted = to_arrow_schema(schema)
 
-    def scored(c: np.ndarray, scale: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    def scored(c: np.ndarray, scale: np.ndarray, norm: np.ndarray, of: np.ndarray | slice) -> np.ndarray:
         own, levels = shared.value, codebook(spec.dim, spec.bits).levels
-        s = codec.coarse_projection(own.framed, c, levels) if coarse else levels[c] @ own.framed.T
-        values = codec.value(metric, s - own.bias, scale[:, None], norm[:, None], own.norm)
-        return codec.rank_key(metric, values)
+        s = codec.coarse_projection(own.framed[of], c, levels) if coarse else levels[c] @ own.framed[of].T
+        values = codec.value(metric, s - own.bias[of], scale[:, None], norm[:, None], own.norm[of])
+        keys = codec.rank_key(metric, values)
+        return np.round(np.where(np.isnan(keys), -np.inf, keys), DIGITS)
+
+    def fit(keys: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and queries of the keys that may be among the k best: ties are settled by id later."""
+        if len(keys) > k and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(keys, len(keys) - k, axis=0)[len(keys) - k])
+        return np.nonzero((keys >= floor) & (keys > -np.inf))
+
+    def parts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray | None, np.ndarray | slice]]:
+        """Rows and the queries that they count for: all, or cell by cell."""
+        if shared.value.asked is None:
+            yield None, slice(None)
+            return
+        cell = b.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if rows.size and (of := shared.value.asked.get(int(cell[rows[0]]))) is not None:
+                yield rows, of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(shared.value.ids)
         best: pa.Table | None = None  # k rows a query at most
+        floor = np.full(n, -np.inf)  # the k-th of them
         for whole in batches:
             step = max(1, CHUNK // max(n, spec.dim))
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                keys = scored(code_matrix(b.column("codes"), spec), *(b.column(x).to_numpy().astype(np.float64) for x in ("scale", "norm")))
-                keys = np.round(np.where(np.isnan(keys), -np.inf, keys), DIGITS)
-                m = min(k, len(keys))
-                # All rows at or above the m-th key, so ties are settled by id below.
-                least = np.partition(keys, len(keys) - m, axis=0)[len(keys) - m]
-                row, query = np.nonzero((keys >= least) & (keys > -np.inf))
-                found = pa.table([b.column(x).take(pa.array(row)) for x in names] + [pa.array(query), pa.array(keys[row, query])], names=[*names, "q", "key"])
+                codes_, scale, norm = code_matrix(b.column("codes"), spec), *(b.column(x).to_numpy().astype(np.float64) for x in ("scale", "norm"))
+                hits = []
+                for rows, of in parts(b):
+                    keys = scored(codes_, scale, norm, of) if rows is None else scored(codes_[rows], scale[rows], norm[rows], of)
+                    row, query = fit(keys, floor[of])
+                    hits.append((row if rows is None else rows[row], query if rows is None else of[query], keys[row, query]))
+                if not sum(x[0].size for x in hits):
+                    continue
+                row, query, key = (np.concatenate(x) for x in zip(*hits, strict=True))
+                found = pa.table([b.column(x).take(pa.array(row)) for x in names] + [pa.array(query), pa.array(key)], names=[*names, "q", "key"])
                 found = found if best is None else pa.concat_tables([best, found])
                 order = pyarrow.compute.sort_indices(found, [("q", "ascending"), ("key", "descending"), (id_col, "ascending")])
                 found = found.take(order)
                 q_of = found.column("q").to_numpy()
                 place = np.arange(len(q_of)) - np.searchsorted(q_of, q_of)
+                last = place == k - 1
+                floor[q_of[last]] = found.column("key").to_numpy()[last]
                 best = found.filter(pa.array(place < k)).combine_chunks()
         if best is not None and best.num_rows:
             ids = shared.value.ids
@@ -122,17 +147,18 @@ def _scan(codes: DataFrame, spec: IndexSpec, q: Queries, k: int, metric: str, id
             columns += [pa.array([ids[i] for i in best.column("q").to_pylist()], wanted.field("qid").type), best.column("key").combine_chunks()]
             yield from pa.Table.from_arrays(columns, schema=wanted).to_batches()
 
-    read = list(dict.fromkeys([*names, "codes", "scale", "norm"]))
+    read = list(dict.fromkeys([*names, "codes", "scale", "norm", *(["cell"] if q.asked is not None else [])]))
     return codes.select(*read).mapInArrow(run, schema)
 
 
 def search(
     codes: DataFrame, queries: DataFrame, spec: IndexSpec, k: int, metric: str | None = None, where: Column | None = None, id_col: str = "id",
-    query_id: str = "qid", column: str = "vector", keep: tuple[str, ...] = (), coarse: bool = False, block: int = BLOCK,
+    query_id: str = "qid", column: str = "vector", keep: tuple[str, ...] = (), coarse: bool = False, block: int = BLOCK, asked: Callable[[np.ndarray], dict] | None = None,
 ) -> DataFrame:
     """(qid, rank, id, score, keep...): the k best of codes (id, codes, scale, norm) for each query, best first.
 
     where: rows to consider (a mask, an id predicate, a compiled filter). coarse: score by 8-bit tables.
+    asked: the cells that queries look into; codes have a cell column then, and other cells aren't read.
     """
     metric = metric or spec.metric
     check_k(k)
@@ -140,7 +166,8 @@ def search(
         raise SearchError("INVALID_METRIC", f"metric must be one of {METRICS}, got {metric}")
     kept = codes if where is None else codes.where(where)
     query_type = queries.schema[query_id].dataType.simpleString()
-    parts = [_scan(kept, spec, q, k, metric, id_col, list(keep), coarse, query_type) for q in blocks(queries, spec, query_id, column, block)]
+    held = lambda q: kept if q.asked is None else kept.where(F.col("cell").isin([*q.asked]))
+    parts = [_scan(held(q), spec, q, k, metric, id_col, list(keep), coarse, query_type) for q in blocks(queries, spec, query_id, column, block, asked)]
     if not parts:
         parts = [kept.select(id_col, *keep, F.lit(None).cast(query_type).alias("qid"), F.lit(0.0).alias("key")).where(F.lit(False))]
     top = top_rows(reduce(DataFrame.unionByName, parts), k, F.col("key"), id_col)
@@ -197,6 +224,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, x = shared.value
+            least = np.full(len(ids), -np.inf)  # the k-th best key of each query so far, or a bound below it
             for whole in batches:
                 step = max(1, CHUNK // max(1, len(ids)))
                 for at in range(0, whole.num_rows, step):
@@ -204,12 +232,14 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
                     v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                     keys = v @ x.T
                     if metric == "cosine":
-                        keys /= np.sqrt((v**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            keys /= np.sqrt((v**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))
                     elif metric == "euclidean":
                         keys = 2 * keys - (v**2).sum(1)[:, None] - (x**2).sum(1)
-                    keys = np.round(keys, DIGITS)
-                    m = min(k, len(keys))
-                    row, query = np.nonzero(keys >= np.partition(keys, len(keys) - m, axis=0)[len(keys) - m])
+                    keys = np.where(np.isnan(keys), -np.inf, np.round(keys, DIGITS))  # a zero vector has no angle
+                    if len(keys) >= k:
+                        least = np.maximum(least, np.partition(keys, len(keys) - k, axis=0)[len(keys) - k])
+                    row, query = np.nonzero((keys >= least) & (keys > -np.inf))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)).cast(wanted[0].type), pa.array([ids[i] for i in query], wanted[1].type), pa.array(keys[row, query])], schema=wanted)
 
         parts.append(vectors.select(id_col, doubles(F.col(column))).mapInArrow(run, schema))

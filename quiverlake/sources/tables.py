@@ -42,13 +42,15 @@ def spec_of(text: str) -> tuple[IndexSpec, dict]:
     return IndexSpec(**own, calibration=Calibration(tuple(calibration["shift"]), tuple(calibration["scale"])) if calibration else None), held
 
 
-def save(codes: DataFrame, spec: IndexSpec, path: str, cells: DataFrame | None = None, **more) -> None:
-    """codes/ (by cell, if there are cells), cells/ and meta/ under path."""
+def save(codes: DataFrame, spec: IndexSpec, path: str, cells: DataFrame | None = None, payloads: DataFrame | None = None, **more) -> None:
+    """codes/ (by cell, if there are cells), cells/, payloads/ and meta/ under path."""
     spark = codes.sparkSession
     writer = codes.write.mode("errorifexists")
     (writer.partitionBy("cell") if cells is not None else writer).parquet(f"{path}/codes")
     if cells is not None:
         cells.write.parquet(f"{path}/cells")
+    if payloads is not None:
+        payloads.write.parquet(f"{path}/payloads")
     spark.createDataFrame([(spec_row(spec, **more),)], "spec string").coalesce(1).write.parquet(f"{path}/meta")
 
 

@@ -346,3 +346,28 @@ def test_encode_refusals(spark):
         with pytest.raises(EncodeError) as e:
             validate(spark.createDataFrame(rows, "id long, vector array<double>"), 8)
         assert e.value.code == code
+
+
+def test_zero_vectors_take_no_hit(spark):
+    rows = [(i, [0.0, 0.0] if i == 3 else [1.0, float(i)]) for i in range(6)]
+    q = queries_frame(spark, [[1.0, 2.0]])
+    found = exact(spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1), q, 1, "cosine").collect()
+    assert [r.id for r in found] == [2]
+
+
+def test_saved_collection(spark, tmp_path):
+    points = Collection(spark, 8, id_kind="string")
+    points.upsert(spark.createDataFrame([(f"p{i}", [float(i), 1.0, 2.0, 0.5] * 2, (i,)) for i in range(5)], "id string, vector array<double>, payload struct<n: int>"))
+    points.save(str(tmp_path / "saved"))
+    again = Collection.load(spark, str(tmp_path / "saved"))
+    assert again.id_kind == "string" and again.get("p3") == {"id": "p3", "payload": {"n": 3}}
+    again.clear()
+    assert again.get("p3") is None and again.payloads is None
+
+
+def test_cell_queries_are_checked(spark):
+    index = PositionalIndex(spark, 8, cells=2, probes=1)
+    index.add(spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3), 0.5] * 2) for i in range(40)], "id long, vector array<double>"))
+    with pytest.raises(SearchError) as e:
+        index.search(queries_frame(spark, [[0.0] * 8]), 3).collect()
+    assert e.value.code == "ZERO_QUERY"
