@@ -40,6 +40,7 @@ VOCABULARY = 2048  # terms at most
 LEAST_TOXIC = 3  # toxic examples that hold a term, at least: fewer say nothing
 NEIGHBOURS = 16
 BLOCK = 64
+GATHERED = 4096  # rows of postings gathered at once, into the same 2 MB
 CACHED = 150_000
 
 _word = re.compile(r"\w+")
@@ -129,22 +130,38 @@ class BlockMaxIndex:
         term = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, np.int64)])
         weight = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
         place = np.repeat(np.arange(len(order)), [vectors[i][0].size for i in order])
-        by = np.lexsort((place, term))
-        self.place, self.weight, cell = place[by], weight[by], term[by] * self.blocks + place[by] // BLOCK
-        #: Postings of term t in block b: from start[t * blocks + b].
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(n_terms, self.blocks)
+        cell = term * self.blocks + place // BLOCK
+        held = np.unique(cell)
+        #: A block of postings is a row of BLOCK weights, zero where an example lacks the term; row 0 stands for cells without postings.
+        self.row = np.zeros((n_terms, self.blocks), np.int32)
+        self.row.reshape(-1)[held] = np.arange(1, held.size + 1)
+        self.cell, self.within, self.weight = self.row.reshape(-1)[cell], place % BLOCK, weight
+        self.most = np.zeros((n_terms, self.blocks))
+        np.maximum.at(self.most.reshape(-1), cell, weight)
+        self._rows: np.ndarray | None = None
+        self._room: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None, "_room": None}  # postings travel as they are
+
+    @property
+    def rows(self) -> np.ndarray:
+        """At most 8 * BLOCK bytes for each of terms x blocks: 66 MB with the bounds above, once in a worker."""
+        if self._rows is None:
+            self._rows = np.zeros((int(self.row.max(initial=0)) + 1, BLOCK))
+            self._rows[self.cell, self.within] = self.weight
+        return self._rows
 
     def _cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the blocks with a positive cosine, and the cosines, from the postings of these terms."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        start = self.start[cells]
-        n = self.start[cells + 1] - start
-        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        within = np.repeat(np.tile(np.arange(blocks.size), terms.size), n) * BLOCK + self.place[at] % BLOCK
-        sums = np.bincount(within, np.repeat(np.repeat(weights, blocks.size), n) * self.weight[at], blocks.size * BLOCK)
+        rows, sums, step = self.rows, np.empty((blocks.size, BLOCK)), max(1, GATHERED // terms.size)
+        if self._room is None or len(self._room) < terms.size * step:
+            self._room = np.empty((max(GATHERED, terms.size), BLOCK))
+        for i in range(0, blocks.size, step):
+            at = self.row[terms[:, None], blocks[i : i + step]]
+            got = np.take(rows, at.reshape(-1), axis=0, out=self._room[: at.size], mode="clip")
+            sums[i : i + step] = (weights @ got.reshape(terms.size, -1)).reshape(-1, BLOCK)
+        sums = sums.reshape(-1)
         own = np.flatnonzero(sums)
         return blocks[own // BLOCK] * BLOCK + own % BLOCK, sums[own]
 
@@ -171,6 +188,9 @@ class BlockMaxIndex:
                 other = self.ids[found] != but
                 found, values = found[other], values[other]
             places, cosines = np.concatenate([places, found]), np.concatenate([cosines, values])
+            if cosines.size > k:  # what is farther than the k-th, beyond a tie, needs no sorting
+                near = cosines >= np.partition(cosines, -k)[-k] - 1e-11
+                places, cosines = places[near], cosines[near]
             top = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
             places, cosines = places[top], cosines[top]
             least = cosines[-1] if cosines.size else 0.0
