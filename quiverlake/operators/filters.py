@@ -8,6 +8,8 @@ never null. As built-in expressions over plain columns they reach the Parquet sc
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -19,6 +21,8 @@ from ..errors import FilterError
 
 _BOUNDS = {"gt": lambda c, x: c > x, "gte": lambda c, x: c >= x, "lt": lambda c, x: c < x, "lte": lambda c, x: c <= x}
 _PARTS = ("must", "should", "must_not")
+#: How a variant is read as a value of each kind, and the types it must then have.
+_VARIANTS = {str: ("string", "^STRING$"), bool: ("boolean", "^BOOLEAN$"), float: ("double", "^(BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")}
 
 
 def _bad(why: str) -> FilterError:
@@ -42,13 +46,31 @@ class _Compiler:
         self.id_col, self.payload = id_col, payload
         held = schema[payload].dataType if payload else schema
         self.types = {f.name: f.dataType for f in held.fields}
+        self.id_type = schema[id_col].dataType if id_col in schema.names else None
 
     def column(self, key: str, kind: type) -> Column | None:
         """The key's column, if it is of that kind."""
-        if _kind(self.types.get(key)) is not kind or (self.payload is None and key == self.id_col):
+        own = self.types.get(key)
+        mixed = isinstance(own, T.VariantType)
+        if not mixed and _kind(own) is not kind or (self.payload is None and key == self.id_col):
             return None
         c = F.col(self.payload)[key] if self.payload else F.col(f"`{key}`")
-        return c
+        if not mixed:
+            return c
+        name, pattern = _VARIANTS[kind]
+        return F.when(F.schema_of_variant(c).rlike(pattern), F.try_variant_get(c, "$", name))
+
+    def has_id(self, ids: list) -> Column:
+        """Ids of another type than the column's match nothing."""
+        if isinstance(self.id_type, T.StringType):
+            ids = [i for i in ids if isinstance(i, str)]
+        elif isinstance(self.id_type, (T.IntegralType, T.DecimalType)):
+            most = 2**63 if isinstance(self.id_type, T.IntegralType) else 10**38
+            whole = [int(i) for i in ids if isinstance(i, Decimal) and i == int(i) or _number(i) and math.isfinite(i) and i == int(i)]
+            ids = [Decimal(i) if most > 2**63 else i for i in whole if abs(i) < most]
+        elif isinstance(self.id_type, T.NumericType):
+            ids = [float(i) for i in ids if _number(i)]
+        return F.coalesce(F.col(self.id_col).isin(ids), F.lit(False)) if ids else F.lit(False)
 
     def condition(self, c: object) -> Column:
         if not isinstance(c, dict):
@@ -61,7 +83,7 @@ class _Compiler:
             ids = c["hasId"]
             if not isinstance(ids, (list, tuple)) or not ids:
                 raise _bad("hasId needs at least one id")
-            return F.coalesce(F.col(self.id_col).isin(list(ids)), F.lit(False))
+            return self.has_id(list(ids))
         if c and set(c) <= set(_PARTS):
             return self.filter(c)
         raise _bad(f"no condition has the shape {sorted(c)}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from ..functions.codec import IndexSpec
 from ..sources import binary, tables
 from .encode import code_matrix, encode, validate
 from .filters import compile_filter
+from .payloads import plain, united
 from .ivf import search_cells
 from .search import search, two_stage
 from .training import CALIBRATION_FROM, assign, check_cells, default_probes, fit_calibration, train_cells
@@ -60,11 +62,20 @@ class VectorIndex:
         self.centroids: np.ndarray | None = None
         self.decided = False
         self.payloads: DataFrame | None = None
-        self.codes: DataFrame | None = None
-        self.size = 0
+        self._set([])
 
     # ---- changes
 
+    def _set(self, parts: list[tuple[DataFrame, int]]) -> None:
+        """The index's tables with their rows, the largest first: one assignment switches to them."""
+        self.parts = [p for p in parts if p[1]]
+        self.size = sum(n for _, n in self.parts)
+        self.codes: DataFrame | None = reduce(DataFrame.unionByName, (c for c, _ in self.parts)) if self.parts else None
+
+    def _table(self, codes: DataFrame) -> tuple[DataFrame, int]:
+        held = tables.materialize(codes, "codes", "cell" if "cell" in codes.columns else None)
+        return held, held.count()
+
     def _prepare(self, batch: DataFrame, n: int, order: str) -> None:
         """Calibration and cells, decided once by the first non-empty batch of an index that has no rows."""
         if self.decided or self.size or not n:
@@ -80,16 +91,23 @@ class VectorIndex:
         return encode(held, self.spec)
 
     def _replace(self, codes: DataFrame | None) -> None:
-        self.codes = None if codes is None else tables.materialize(codes, "codes", "cell" if "cell" in codes.columns else None)
-        self.size = 0 if self.codes is None else self.codes.count()
+        self._set([] if codes is None else [self._table(codes)])
 
-    def _append(self, batch: DataFrame) -> None:
-        new = self._encoded(batch)
-        self._replace(new if self.codes is None else self.codes.unionByName(new))
+    def _grown(self, parts: list[tuple[DataFrame, int]], batch: DataFrame, n: int) -> list[tuple[DataFrame, int]]:
+        """parts and the n rows of batch. Tables less than twice as large as what comes after them are written again with it:
+        there are at most log2(rows) tables, and a row is rewritten as often, however small the batches."""
+        kept, new = list(parts), self._encoded(batch)
+        while kept and kept[-1][1] < 2 * n:
+            codes, rows = kept.pop()
+            new, n = codes.unionByName(new), n + rows
+        return [*kept, self._table(new)]
+
+    def _append(self, batch: DataFrame, n: int) -> None:
+        self._set(self._grown(self.parts, batch, n))
 
     def clear(self) -> None:
         """No rows; what was trained stays."""
-        self.codes, self.size = None, 0
+        self._set([])
         self.payloads = None
 
     # ---- search
@@ -182,13 +200,13 @@ class PositionalIndex(VectorIndex):
         n = slotted.count()
         if n:
             self._prepare(slotted, n, SLOT)
-            self._append(slotted.select(SLOT, "vector"))
+            self._append(slotted.select(SLOT, "vector"), n)
 
     def add_one(self, vector: Iterable[float]) -> None:
         """A row that decides nothing about calibration or cells."""
         one = self.spark.createDataFrame([(self.size, [float(x) for x in vector])], f"{SLOT} long, vector array<double>")
         validate(one, self.spec.dim)
-        self._append(one)
+        self._append(one, 1)
 
     def swap_remove(self, slot: int) -> None:
         """The last row takes the place of the one that goes."""
@@ -259,7 +277,7 @@ class IdIndex(VectorIndex):
         n = slotted.count()
         if n:
             self._prepare(slotted, n, SLOT)
-            self._append(slotted.select(SLOT, "id", "vector"))
+            self._append(slotted.select(SLOT, "id", "vector"), n)
 
     def remove(self, id_) -> None:
         if not self.has(id_):
@@ -272,8 +290,6 @@ class IdIndex(VectorIndex):
             return
         left = self.codes.where(~F.col("id").isin(ids)) if ids else self.codes
         self._replace(dense_slots(left.withColumnRenamed(SLOT, "_old"), ["_old"]).drop("_old").select(*self.codes.columns))
-        if not self.size:
-            self.codes = None
 
     def has(self, id_) -> bool:
         return self.codes is not None and bool(self.codes.where(F.col("id") == F.lit(id_)).limit(1).count())
@@ -311,30 +327,45 @@ class Collection(IdIndex):
     def upsert(self, points: DataFrame) -> None:
         """points: (id, vector) and maybe payload (a struct). Replaces points of the same ids, payload and all.
 
-        Everything is checked and encoded before anything changes.
+        Payloads of any shape share a collection: a key that points hold with unlike types becomes a variant. New
+        tables are written first and taken over together, so a failure leaves points and payloads as they were.
         """
         batch = tables.materialize(self._batch(points), "upsert")
-        encode(batch, self.spec).agg(F.count("codes")).collect()  # a degenerate row shows here
         gone = batch.select("id")
-        payload = points.select(F.col("id").cast(ID_TYPES[self.id_kind]).alias("id"), "payload") if "payload" in points.columns else None
-        old = self.payloads.join(gone, "id", "left_anti") if self.payloads is not None else None
-        parts = [p for p in (old, payload) if p is not None]
-        merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]) if parts else None
-        new_payloads = tables.materialize(merged, "payloads") if merged is not None else None
-        if self.codes is not None and self.codes.join(gone, "id", "left_semi").limit(1).count():
-            left = self.codes.join(gone, "id", "left_anti").withColumnRenamed(SLOT, "_old")
-            self._replace(dense_slots(left, ["_old"]).drop("_old").select(*self.codes.columns))
-        self._extend(batch)
-        self.payloads = new_payloads
+        before = self.spec, self.centroids, self.decided
+        try:
+            parts = self.parts
+            if self.codes is not None and self.codes.join(gone, "id", "left_semi").limit(1).count():
+                left = self.codes.join(gone, "id", "left_anti").withColumnRenamed(SLOT, "_old")
+                parts = [p for p in [self._table(dense_slots(left, ["_old"]).drop("_old").select(*self.codes.columns))] if p[1]]
+            slotted = tables.materialize(dense_slots(batch, ["id"], sum(n for _, n in parts)), "batch")
+            n = slotted.count()
+            if n:
+                self._prepare(slotted, n, SLOT)
+                parts = self._grown(parts, slotted.select(SLOT, "id", "vector"), n)
+            payloads = self.payloads.join(gone, "id", "left_anti") if self.payloads is not None else None
+            if "payload" in points.columns:
+                new = points.select(F.col("id").cast(ID_TYPES[self.id_kind]).alias("id"), "payload")
+                payloads = new if payloads is None else united(payloads, new, "payload")
+            payloads = tables.materialize(payloads, "payloads") if payloads is not None else None
+        except Exception:
+            self.spec, self.centroids, self.decided = before
+            raise
+        self._set(parts)
+        self.payloads = payloads
+
+    def _drop(self, ids: list) -> None:
+        payloads = self.payloads
+        if payloads is not None and ids:
+            payloads = tables.materialize(payloads.where(~F.col("id").isin(ids)), "payloads")
+        super()._drop(ids)
+        self.payloads = payloads
 
     def delete(self, ids) -> None:
         """Unknown ids don't matter."""
         ids = list(ids) if isinstance(ids, (list, tuple, set)) else [ids]
-        if not ids or self.codes is None:
-            return
-        self._drop(ids)
-        if self.payloads is not None:
-            self.payloads = tables.materialize(self.payloads.where(~F.col("id").isin(ids)), "payloads")
+        if ids and self.codes is not None:
+            self._drop(ids)
 
     def points(self) -> DataFrame:
         """Codes with their payload, if there are payloads: what filters see. Columns that a plan doesn't use aren't read."""
@@ -353,9 +384,9 @@ class Collection(IdIndex):
         return found.join(self.payloads, "id", "left").select("qid", "rank", "id", "score", "payload") if payload and with_payload else found
 
     def get(self, id_) -> dict | None:
-        """{"id", "payload"}; None if there is no such point."""
+        """{"id", "payload"}; None if there is no such point. Keys that the point lacks, or has null, are left out."""
         if not self.has(id_):
             return None
         row = self.payloads.where(F.col("id") == F.lit(id_)).first() if self.payloads is not None else None
-        return {"id": id_, "payload": row.payload.asDict() if row is not None and row.payload is not None else None}
+        return {"id": id_, "payload": plain(row.payload) if row is not None else None}
 

@@ -371,3 +371,95 @@ def test_cell_queries_are_checked(spark):
     with pytest.raises(SearchError) as e:
         index.search(queries_frame(spark, [[0.0] * 8]), 3).collect()
     assert e.value.code == "ZERO_QUERY"
+
+
+def _points(spark, rows, payload):
+    """rows: (id, payload values); each point's vector follows from its id."""
+    made = [(i, [float((i * 7 + j * 3) % 11 - 5.5) for j in range(16)], p) for i, p in rows]
+    return spark.createDataFrame(made, f"id long, vector array<double>, payload {payload}")
+
+
+def test_payloads_of_any_shape(spark, tmp_path):
+    points = Collection(spark, 16)
+    points.upsert(_points(spark, [(1, (2020,)), (2, (2021,))], "struct<year: int>"))
+    points.upsert(_points(spark, [(3, ("a", (1,))), (4, (None, None))], "struct<tag: string, more: struct<x: int>>"))
+    points.upsert(_points(spark, [(5, ("2021", (2.5, True)))], "struct<year: string, more: struct<x: double, y: boolean>>"))
+    points.upsert(_points(spark, [(6, (True,))], "struct<year: boolean>"))
+
+    def check(held):
+        q = queries_frame(spark, [[1.0] * 16])
+
+        def ids(*must):
+            return sorted(r.id for r in held.search_points(q, {"must": list(must)}).collect())
+
+        assert ids({"key": "year", "match": 2021}) == [2]
+        assert ids({"key": "year", "match": "2021"}) == [5]
+        assert ids({"key": "year", "match": True}) == [6]
+        assert ids({"key": "year", "range": {"gte": 2020}}) == [1, 2]
+        assert ids({"key": "tag", "match": "a"}) == [3]
+        assert held.get(2)["payload"] == {"year": 2021}
+        assert held.get(3)["payload"] == {"tag": "a", "more": {"x": 1}}
+        assert held.get(4)["payload"] == {}
+        assert held.get(5)["payload"] == {"year": "2021", "more": {"x": 2.5, "y": True}}
+
+    check(points)
+    points.save(str(tmp_path / "points"))
+    check(Collection.load(spark, str(tmp_path / "points")))
+
+
+def test_failed_upsert_changes_nothing(spark, monkeypatch):
+    from quiverlake.sources import tables
+
+    points = Collection(spark, 16)
+    points.upsert(_points(spark, [(i, (i,)) for i in range(5)], "struct<year: int>"))
+    before = sorted(map(tuple, points.points().select("id", "slot", "codes", "payload.year").collect()))
+    whole = tables.materialize
+
+    for at in ("codes", "payloads", "batch"):
+
+        def failing(df, name="table", partition_by=None, at=at):
+            if name == at:
+                raise OSError("disk")
+            return whole(df, name, partition_by)
+
+        monkeypatch.setattr(tables, "materialize", failing)
+        with pytest.raises(OSError):
+            points.upsert(_points(spark, [(1, (99,)), (7, (7,))], "struct<year: int>"))
+        monkeypatch.setattr(tables, "materialize", whole)
+        assert sorted(map(tuple, points.points().select("id", "slot", "codes", "payload.year").collect())) == before
+        assert points.size == 5 and points.get(1)["payload"] == {"year": 1}
+
+
+def test_appends_write_few_rows_again(spark, monkeypatch):
+    from quiverlake.sources import tables
+
+    written, whole = [], tables.materialize
+
+    def counted(df, name="table", partition_by=None):
+        out = whole(df, name, partition_by)
+        if name == "codes":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "materialize", counted)
+    one = PositionalIndex(spark, 16)
+    for i in range(9):
+        one.add_one([float((i * 7 + j * 3) % 11 - 5.5) for j in range(16)])
+    assert one.size == 9 and len(one.parts) <= 4 and sum(written) <= 9 * 4
+    at_once = PositionalIndex(spark, 16)
+    at_once.add(_points(spark, [(i, (i,)) for i in range(9)], "struct<year: int>"))
+    rows = [sorted(map(tuple, x.codes.select("slot", "codes", "scale").collect())) for x in (one, at_once)]
+    assert rows[0] == rows[1]
+
+
+def test_has_id_is_strict_about_types(spark):
+    points = Collection(spark, 16)
+    points.upsert(_points(spark, [(i, (i,)) for i in range(3)], "struct<year: int>"))
+    q = queries_frame(spark, [[1.0] * 16])
+
+    def ids(*wanted):
+        return sorted(r.id for r in points.search_points(q, {"must": [{"hasId": list(wanted)}]}).collect())
+
+    assert ids(1, 2.0) == [1, 2]
+    assert ids("1", "abc", True, 1.5, 2**70) == []
+    assert sorted(r.id for r in points.search_points(q, {"must_not": [{"hasId": ["1", 0]}]}).collect()) == [1, 2]
