@@ -33,3 +33,25 @@ def test_near_copies(spark):
     made = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
     left = [r.doc_id for r in made.collect()]
     assert {i for i in left if i is not None} == {i for i in root if root[i] == i} and left.count(None) == 2
+
+
+def test_components_with_hot_centres(spark):
+    import random
+
+    from quiverlake.llm.components import components
+
+    draw = random.Random(5)
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 160) for i in range(60)] + [(draw.randrange(300, 500), draw.randrange(300, 500)) for _ in range(150)]
+    root = {x: x for link in links for x in link}
+    while True:
+        moved = False
+        for a, b in links:
+            low = min(root[a], root[b])
+            if (root[a], root[b]) != (low, low):
+                root[a] = root[b] = low
+                moved = True
+        if not moved:
+            break
+    expected = sorted((x, r) for x, r in root.items() if x != r)
+    for hot in (3, 1000):
+        assert sorted(map(tuple, components(spark.createDataFrame(links, "u long, v long"), hot).collect())) == expected
