@@ -66,5 +66,22 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
+def most_frequent(counted: DataFrame, key: str, size: int) -> DataFrame:
+    """(key): at most ``size`` of the most frequent keys of (key, n), n > 0, a table; no task or driver meets the keys.
+
+    Counts are ranked by eighths of an octave, and within one by slices of a hash of the key. A histogram over both
+    (at most 512 x 256 cells) tells how many whole cells there is room for.
+    """
+    cells = counted.select(key, F.floor(F.log2("n") * 8).cast("int").alias("level"), F.pmod(F.xxhash64(key), F.lit(256)).cast("int").alias("slice"))
+    room, last = size, None
+    for r in sorted(cells.groupBy("level", "slice").agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: (-r.level, r.slice)):
+        if r.rows > room:
+            break
+        room, last = room - r.rows, r
+    if last is None:
+        return cells.where(F.lit(False)).select(key)
+    return cells.where((F.col("level") > last.level) | ((F.col("level") == last.level) & (F.col("slice") <= last.slice))).select(key)
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

@@ -20,6 +20,7 @@ import base64
 import json
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, cut, text_of
+from ._common import arrow_schema, cut, most_frequent, text_of
 
 TABLE_SIZE = 1 << 17  # words in the broadcast table
 LONGEST = 48  # characters of a word that is folded or kept
@@ -38,8 +39,23 @@ CACHED = 200_000  # parts in a worker's cache
 #: The characters with the White_Space property.
 SPACES = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _inner = re.compile(r"\s \s")
-#: Words in which every Unicode version sees the same letters.
-_plain = re.compile("[\t-\r -~\xa0-ɏ]*")
+
+
+def _same_kind() -> str:
+    """The characters, as a class, in which every Unicode version sees the same: assigned since 3.2, of one kind ever since."""
+
+    def kind(of: str) -> str:
+        return of[0] if of[0] in "LNZ" else "other"
+
+    def same(c: str) -> bool:
+        was, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        return was not in ("Cn", "Cs", "Cc") and kind(was) == kind(now)
+
+    return "\t-\r" + "".join(re.escape(c) for c in map(chr, range(1 << 16)) if same(c))
+
+
+#: Words that are matched here; others are left to the library whole.
+_plain = re.compile(f"[{_same_kind()}]*")
 
 
 def spelled(pattern: str) -> str:
@@ -83,10 +99,10 @@ def merged(word: Column, ranks: Column) -> Column:
 
 
 def common_words(docs: DataFrame, pattern: str, text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
-    """The most frequent pre-tokens of all texts (partial counts before the shuffle)."""
+    """The most frequent pre-tokens of all texts, ``table_size`` at most (partial counts before the shuffle)."""
     words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(f"({spelled(pattern)})"), F.lit(1))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.char_length("word") <= LONGEST))
-    return counted.orderBy(F.desc("n"), "word").limit(table_size).select("word")
+    return most_frequent(cut(counted, "counted"), "word", table_size)
 
 
 class Encoder(dict):
@@ -132,7 +148,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     words = cut(common_words(docs, pattern, text_col, table_size).repartition(64, "word"), "words")
     table = cut(words.select("word", merged(F.col("word"), rank_literal(ranks)).alias("ids")), "encoded")
     known = {r.word: struct.pack(f"<{len(r.ids)}I", *r.ids) for r in table.toLocalIterator()}  # at most table_size short words
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, {w: i for w, i in known.items() if _plain.fullmatch(w)}))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, known))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary"
     wanted = arrow_schema(schema)
 

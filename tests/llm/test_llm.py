@@ -17,6 +17,7 @@ import public_tokenizers  # noqa: E402
 import xxhash  # noqa: E402
 
 from quiverlake.llm import byte_bpe, components, exact_dedup, line_dedup, neighbours, packing, quality, simhash, substring_dedup, token_counts, toxicity, word_ids  # noqa: E402
+from quiverlake.llm._common import most_frequent  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, _id long, digest string, words string"
 
@@ -200,6 +201,36 @@ def test_folded_merges(spark):
     assert made == {w: library._core_bpe.encode_single_piece(w.encode()) for w in words}
 
 
+def test_words_of_all_scripts(spark):
+    """Random strings of many scripts: the worker's words, from the table or merged, give what the library gives."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(9)
+    letters = list("abc 's\n\t  .,!?'éñ1٣ⅷ½мирשלוםسلامहिन्दी漢字かなカナ한국ไทย\xa0\u180e\u200b\u2028\u3000“—€𝄞😀ſİ\u0301ꟲ\u08be")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 3000)]
+    empty = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, {})
+    for t in texts:
+        ids = library.encode_ordinary(t)
+        assert empty.encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
+    rows = [(i, " ".join(["мир 漢字 שלום", t])) for i, t in enumerate(texts[:200])]
+    counted = {r.word for r in byte_bpe.common_words(docs(spark, rows), public_tokenizers.PATTERN).collect()}
+    assert {"мир", " 漢字", " שלום"} <= counted
+    made = {r.doc_id: r.ids for r in byte_bpe.encode(docs(spark, rows), path, public_tokenizers.PATTERN, table_size=64).collect()}
+    assert all(bytes(made[i]) == struct.pack(f"<{len(ids)}I", *ids) for i, t in rows for ids in [library.encode_ordinary(t)])
+
+
+def test_most_frequent(spark):
+    counted = spark.createDataFrame([(f"w{i}", 1 + 3000 // (i + 1)) for i in range(3000)], "word string, n long")
+    for size in (0, 1, 10, 500, 3000, 10**6):
+        found = {int(r.word[1:]) for r in most_frequent(counted, "word", size).collect()}
+        assert len(found) <= size and (len(found) == 3000 or size < 3000)
+        assert set(range(size // 2)) <= found or size > 1000 or size < 10
+    assert not most_frequent(counted.limit(0), "word", 5).count()
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
