@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_schema, text_of
+from ._common import arrow_schema, cut, most_frequent, text_of
 from .word_ids import unit_bytes
 
 TABLE_SIZE = 1 << 16  # runs in the broadcast table
@@ -61,7 +61,7 @@ def frequent_runs(docs: DataFrame, text_col: str, table_size: int = TABLE_SIZE)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(wanted)], schema=wanted)
 
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(report, schema).groupBy("run").agg(F.sum("n").alias("n"))
-    return [r.run for r in found.orderBy(F.desc("n"), "run").limit(table_size).select("run").collect()]  # at most table_size
+    return sorted(r.run for r in most_frequent(cut(found, "reports"), "run", table_size).toLocalIterator())  # at most table_size
 
 
 class RunLengths(dict):
