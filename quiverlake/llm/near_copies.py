@@ -1,9 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies: SimHash fingerprints of five-word shingles and what they can't reach, held to an exact Jaccard similarity.
 
-SimHash can't propose them: at Jaccard 0.8 two fingerprints of 64 bits differ in about ten, which no index by
-variants reaches. So texts meet by MinHash: in each of ``BANDS`` bands, texts whose ``ROWS`` smallest hashes are
-equal share a bucket; two texts of similarity 0.8 share none with a chance of 3e-5. Whatever meets is
-compared on whole shingle sets: first each text with its bucket's smallest, then those of a bucket that are still in
+Texts whose fingerprints ``simhash`` links by deletion variants meet first. At Jaccard 0.8 two fingerprints of 64
+bits differ in about ten, which no index by variants reaches. So texts meet by MinHash too: in each of ``BANDS``
+bands, texts whose ``ROWS`` smallest hashes are equal share a bucket; two texts of similarity 0.8 share none with a
+chance of 3e-5. Whatever meets is compared on whole shingle sets: first each text with the one that its fingerprint
+is linked with and with its bucket's smallest, then those of a bucket that are still in
 different components, in blocks of ``BLOCK`` texts: a task gets two blocks, compares their sketches (a byte of each
 of the hashes), then the whole sets of those that agree in ``AGREE`` bytes, and emits links that join components, not
 pairs. Two texts of similarity 0.8 agree in fewer bytes with a chance of 1e-4. Texts with equal sets are one node.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_schema, cut, text_of, unused
 from .components import components
+from .simhash import links as fingerprint_links
+from .simhash import of_hashes
 from .substring_dedup import WordHashes, kmers
 
 WORDS, SIMILARITY = 5, 0.8
@@ -58,8 +61,8 @@ def sketch_of(least: np.ndarray) -> bytes:
 
 
 def _nodes(texts: DataFrame) -> DataFrame:
-    """(doc_id, node, bands, sketch) for (doc_id, text)"""
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, sketch binary"
+    """(doc_id, node, fp, bands, sketch) for (doc_id, text)"""
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, node long, fp long, bands array<long>, sketch binary"
     wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +70,9 @@ def _nodes(texts: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(hashes.of(t.as_py())) for t in b.column(1)]
             nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            fps = np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)
             least = [least_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(wanted[0].type), pa.array(nodes), pa.array([bands_of(x).view(np.int64) for x in least], wanted[2].type), pa.array([sketch_of(x) for x in least], pa.binary())], schema=wanted)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(wanted[0].type), pa.array(nodes), pa.array(fps), pa.array([bands_of(x).view(np.int64) for x in least], wanted[3].type), pa.array([sketch_of(x) for x in least], pa.binary())], schema=wanted)
 
     return texts.mapInArrow(run, schema)
 
@@ -90,6 +94,15 @@ def _sets(texts: DataFrame, distinct: DataFrame, asked: DataFrame) -> DataFrame:
     return cut(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
+def _linked(distinct: DataFrame) -> DataFrame:
+    """(u, v): each node with the least of its fingerprint, and those with the one that their fingerprint is linked with."""
+    leads = cut(distinct.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    same = distinct.select("node", "fp").join(leads, "fp").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    near = fingerprint_links(leads.select("fp")).distinct()
+    near = near.join(leads.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u").join(leads.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     least, most = sorted((x.size, y.size))
     if least < similarity * most:
@@ -155,11 +168,12 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     """docs with one document of each component of similar texts: the one with the smallest id, with all its columns."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     nodes = cut(_nodes(texts), "nodes")
-    distinct = cut(nodes.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "distinct")
+    distinct = cut(nodes.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "distinct")
     rows = distinct.select("node", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = cut(rows.join(several, "key"), "buckets")
-    first = cut(buckets.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), "first")
+    leads = buckets.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    first = cut(_linked(distinct).unionByName(leads).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "first")
     links = _similar(texts, distinct, first, similarity)
     labels = cut(components(links), "labels")
     named = cut(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")), "named")

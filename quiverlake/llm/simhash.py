@@ -37,6 +37,20 @@ PROBE_FROM = 400_000
 PIECE = 1 << 18  # shingles hashed at once
 
 
+def _counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes."""
+    return _majority(sum((_counts(h[i : i + PIECE]) for i in range(0, h.size, PIECE)), np.zeros(BITS, np.int64)), h.size)
+
+
 def fingerprint(text: str, words_in_shingle: int = 3, seed: int = 42) -> int:
     """Bit i is 1 if it is set in over half of the hashes of the text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -49,9 +63,9 @@ def fingerprint(text: str, words_in_shingle: int = 3, seed: int = 42) -> int:
     counts, n = np.zeros(BITS, np.int64), 0
     hashed = map(xxhash.xxh64_intdigest, shingles, itertools.repeat(seed))
     while (h := np.fromiter(itertools.islice(hashed, PIECE), np.uint64)).size:
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        counts += _counts(h)
         n += h.size
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return _majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

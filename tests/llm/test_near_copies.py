@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("quiverlake.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from quiverlake.llm import simhash  # noqa: E402
+from quiverlake.llm import near_copies, simhash  # noqa: E402
 
 from .test_llm import ODD, docs, prose  # noqa: E402
 
@@ -35,6 +35,26 @@ def test_near_copies(spark):
     assert {i for i in left if i is not None} == {i for i in root if root[i] == i} and left.count(None) == 2
 
 
+def test_fingerprints_in_reach_are_linked(spark):
+    """What the deletion variants link covers every two fingerprints that differ in three bits or fewer."""
+    rows = []
+    for i in range(12):
+        words = prose(8100 + i, 600).split()
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-1], "changed"])), (3 * i + 2, " ".join([*words[1:], "more"]))]
+    texts = docs(spark, rows).select("doc_id", "text")
+    nodes = near_copies._nodes(texts)
+    held = {r.node: r.fp & (2**64 - 1) for r in nodes.collect()}
+    assert held == {r.node: simhash.of_hashes(near_copies.shingles(near_copies.WordHashes().of(r.text))) for r in nodes.join(texts, "doc_id").collect()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(held), 2) if (held[a] ^ held[b]).bit_count() <= 3]
+    assert near
+    root = {x: x for x in held}
+    found = near_copies._linked(nodes.select("node", "fp")).collect()
+    for _ in held:
+        for r in found:
+            root[r.u] = root[r.v] = min(root[r.u], root[r.v])
+    assert all(root[a] == root[b] for a, b in near)
+
+
 def test_components_with_hot_centres(spark):
     import random
 
